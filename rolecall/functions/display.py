@@ -1,0 +1,33 @@
+"""Joined rows behind the job, company and candidate pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rolecall.operators.filters import is_active
+from rolecall.operators.sort import order_by
+
+
+def with_counts(jobs: DataFrame, logs: dict[str, DataFrame]) -> DataFrame:
+    """Adds one count column per log, counted before the join so a hot job stays one row."""
+    for name, log in logs.items():
+        counts = log.groupBy(F.col("job_id").alias("id")).agg(F.count(F.lit(1)).alias(name))
+        jobs = jobs.join(counts, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return jobs
+
+
+def application_detail(applications: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    listed = jobs.select(F.col("id").alias("job_id"), "title", "status", "company_id")
+    brand = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
+    return (
+        applications.join(listed, "job_id")
+        .join(brand, "company_id")
+        .select("user_id", "job_id", "stage", "title", "status", "company_name")
+    )
+
+
+def company_jobs(jobs: DataFrame, sort: str = "recommended", k: int = 200) -> DataFrame:
+    """Each company's first `k` active jobs in the given order."""
+    ranked = Window.partitionBy("company_id").orderBy(*order_by(sort))
+    return jobs.filter(is_active()).withColumn("pos", F.row_number().over(ranked)).filter(F.col("pos") <= k)
