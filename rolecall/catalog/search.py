@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rolecall.catalog import query
-from rolecall.functions import display
+from rolecall.operators import pages
 from rolecall.operators import filters as P
 from rolecall.operators import sort as O
-from rolecall.operators import stats
 from rolecall.operators.filters import SearchParams
 from rolecall.plans import search
 from rolecall.plans.views import AS_OF
@@ -271,7 +270,7 @@ def semi(t):
  LEFT JOIN (SELECT job_id, count(*) AS n FROM v_application GROUP BY job_id) a ON a.job_id = j.id""",
 )
 def left_counts(t):
-    return display.with_counts(t.v_job.select("id"), {"clicks": t.v_click, "applications": t.v_application})
+    return pages.with_counts(t.v_job.select("id"), {"clicks": t.v_click, "applications": t.v_application})
 
 
 @query("J4_anti", "SELECT id FROM v_job WHERE id NOT IN (SELECT job_id FROM v_application)")
@@ -311,18 +310,18 @@ def batch(t):
 
 @query("J9_range_overlap", f"SELECT bucket, count(*) AS jobs FROM ({_BUCKET_SQL}) x GROUP BY bucket")
 def range_overlap(t):
-    """The same overlap as a join to the five bucket rows (a fixed table)."""
-    rows = [(b, lo, hi) for b, (lo, hi) in P.BUCKETS.items()]
-    levels = [(lv, a, b) for lv, (a, b) in P.LEVEL_YEARS.items()]
-    buckets = t.spark.createDataFrame(rows, "bucket string, lo int, hi int")
-    usual = t.spark.createDataFrame(levels, "level string, usual_min int, usual_max int")
-    jobs = t.v_job.join(F.broadcast(usual), "level").select(
-        F.coalesce("experience_min", "usual_min").alias("experience_min"),
-        F.when(F.col("experience_min").isNull(), F.col("usual_max")).otherwise(F.col("experience_max")).alias("experience_max"),
+    """The same overlap read as a join to the bucket table, which is five fixed rows."""
+    usual = F.create_map(*[F.lit(x) for lv, (a, b) in P.LEVEL_YEARS.items() for x in (lv, a)])
+    usual_end = F.create_map(
+        *[F.lit(x) for lv, (a, b) in P.LEVEL_YEARS.items() for x in (lv, a + P.OPEN_SPAN if b is None else b)]
     )
-    counted = jobs.groupBy("experience_min", "experience_max").agg(F.count(F.lit(1)).alias("n"))
-    overlap = P.asks_between(F.col("lo"), F.col("hi"))
-    return counted.join(F.broadcast(buckets), overlap).groupBy("bucket").agg(F.sum("n").alias("jobs"))
+    stated = F.col("experience_min").isNotNull()
+    asks = t.v_job.select(
+        F.coalesce("experience_min", usual[F.col("level")]).alias("experience_min"),
+        F.when(stated, F.col("experience_max")).otherwise(usual_end[F.col("level")]).alias("experience_max"),
+    )
+    counted = asks.groupBy("experience_min", "experience_max").agg(F.count(F.lit(1)).alias("n"))
+    return pages.in_buckets(counted, P.BUCKETS).groupBy("bucket").agg(F.sum("n").alias("jobs"))
 
 
 @query(
@@ -331,7 +330,7 @@ def range_overlap(t):
  JOIN v_job j ON j.id = a.job_id JOIN v_company c ON c.id = j.company_id""",
 )
 def application_detail(t):
-    return display.application_detail(t.v_application, t.v_job, t.v_company)
+    return pages.application_detail(t.v_application, t.v_job, t.v_company)
 
 
 @query(
@@ -340,4 +339,4 @@ def application_detail(t):
  ORDER BY {_ORDER['salary']}) AS pos FROM v_job WHERE status = 'ACTIVE') x WHERE pos <= 200""",
 )
 def company_jobs(t):
-    return display.company_jobs(t.v_job, "salary").select("company_id", "id", "pos")
+    return pages.company_jobs(t.v_job, "salary").select("company_id", "id", "pos")
