@@ -13,7 +13,7 @@ MAX_SAVED = 100
 
 def distinct_ignoring_case(values: Column, limit: int = MAX_SKILLS) -> Column:
     """First spelling of each value, in order; blanks dropped."""
-    kept = F.filter(F.transform(values, F.trim), lambda v: F.length(v) > 0)
+    kept = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: F.length(v) > 0)
     folded = F.transform(kept, F.lower)
     firsts = F.filter(kept, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1)
     return F.slice(firsts, 1, limit)

@@ -99,6 +99,31 @@ SELECT user_id, job_id, MIN(created_at) AS created_at FROM (
  SELECT user_id, ts AS created_at, concat('job', lpad(replace(replace(props, '{"k": ', ''), '}', ''), 12, '0')) AS job_id
  FROM events WHERE event_type = 'view') e
 GROUP BY user_id, job_id""",
+    # Postings as a careers feed would carry them, rendered from the numbers a reader must recover.
+    "v_posting": """
+SELECT id AS external_id, company_id % 5 AS company_id, source, k, discipline, level, lo, hi, posted_at, workplace,
+ experience_min, experience_max,
+ CASE WHEN k % 13 = 0 THEN 'Marketing Lead' ELSE CASE level WHEN 'INTERN' THEN concat(role, ' Intern')
+  WHEN 'JUNIOR' THEN concat('Junior  ', role) WHEN 'SENIOR' THEN concat('Sr. ', role) WHEN 'STAFF' THEN concat('Staff ', role)
+  WHEN 'PRINCIPAL' THEN concat('Principal ', role) WHEN 'MANAGER' THEN concat(role, ' Manager')
+  WHEN 'DIRECTOR' THEN concat('Director, ', role) ELSE role END END AS title,
+ CASE k6 % 6 WHEN 0 THEN 'Bangalore, India' WHEN 1 THEN 'Hyderabad / Pune' WHEN 2 THEN 'Remote - India'
+  WHEN 3 THEN 'Surat, Gujarat' WHEN 4 THEN 'London, UK' ELSE 'Gurgaon or New Delhi' END AS place,
+ CASE WHEN k % 17 = 0 THEN 'ftp://jobs.example.com/1' ELSE concat('HTTPS://Jobs.Example.com/apply/', CAST(k AS STRING)) END AS apply_url,
+ CASE WHEN discipline = 'DATA' THEN concat(' REQ-', level, ' ') END AS requisition_id,
+ concat('We build tools for busy teams. ', CASE WHEN k % 10 = 0 THEN 'Pay is competitive'
+   ELSE concat('CTC: ', CAST(lo AS STRING), ' - ', CAST(hi AS STRING), ' LPA') END, '. ',
+  CASE WHEN experience_min IS NULL THEN '' WHEN experience_max IS NULL
+   THEN concat('You need ', CAST(experience_min AS STRING), '+ years of experience. ')
+   ELSE concat('You need ', CAST(experience_min AS STRING), '-', CAST(experience_max AS STRING), ' years of experience. ') END,
+  'Stack: Kafka, Kafka, ', CASE k % 3 WHEN 0 THEN 'Python and Docker' WHEN 1 THEN 'React Native and React' ELSE 'Go, Rust' END,
+  '. You will join people who care about their craft and review work daily. Posting code ', CAST(k AS STRING), '.') AS description
+FROM (
+ SELECT *, 3 + k6 % 5 AS lo, 4 + k6 % 5 + k6 % 2 AS hi, CASE WHEN k % 7 <> 0 THEN remote END AS workplace,
+  CASE discipline WHEN 'ENGINEERING' THEN 'Backend Developer' WHEN 'DESIGN' THEN 'UX Designer' WHEN 'PRODUCT' THEN 'Product Owner'
+   WHEN 'DATA' THEN 'Data Analyst' WHEN 'SECURITY' THEN 'Security Analyst' ELSE 'DevOps Specialist' END AS role
+ FROM (SELECT *, CAST(substr(id, 4) AS BIGINT) AS k, CAST(floor(CAST(substr(id, 4) AS BIGINT) / 6) AS BIGINT) AS k6 FROM v_job) j0
+) j1""",
 }
 
 _NAME = re.compile(r"\bv_[a-z_]+\b")
@@ -164,6 +189,22 @@ class Tables:
             "tags", F.coalesce("tags", F.array().cast("array<string>"))
         )
 
+    @property
+    def raw_posting(self) -> DataFrame:
+        """v_posting in the shape a feed reader returns; Lever postings carry structured pay."""
+        pay = F.struct(
+            (F.col("lo") * 100_000).cast("double").alias("min"),
+            (F.col("hi") * 100_000).cast("double").alias("max"),
+            F.lit("inr").alias("currency"),
+            F.lit("per-year-salary").alias("interval"),
+        )
+        return self.v_posting.select(
+            "company_id", "source", "external_id", "title", F.lit(None).cast("string").alias("department"),
+            "description", "apply_url", "requisition_id", F.lit(None).cast("string").alias("classification"),
+            "workplace", F.array("place").alias("locations"), "posted_at",
+            F.when(F.col("source") == "LEVER", pay).alias("pay"),
+        )
+
     @property
     def candidate(self) -> DataFrame:
         """v_candidate with skills as an array (null-free, sorted)."""
