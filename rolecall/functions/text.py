@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,11 @@ def constant(value: object, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
+def bind(column: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(column)` with the column worked out once however often `use` mentions it."""
+    return F.element_at(F.transform(F.array(column), use), 1)
+
+
 def plain_spaces(column: Column) -> Column:
     """Wide blanks to plain ones, so `\\s` sees them."""
     return F.translate(column, _WIDE_SPACES, " " * len(_WIDE_SPACES))
@@ -51,11 +57,13 @@ def squeeze(column: Column) -> Column:
 
 
 def fold_accents(column: Column) -> Column:
-    folded = column
-    for char, plain in _FOLD_MANY.items():
-        folded = F.replace(folded, F.lit(char), F.lit(plain))
-    folded = F.translate(folded, _FOLD_FROM, _FOLD_TO)
-    return F.when(column.rlike(_NOT_ASCII), folded).otherwise(column)
+    def fold(text: Column) -> Column:
+        folded = text
+        for char, plain in _FOLD_MANY.items():
+            folded = F.replace(folded, F.lit(char), F.lit(plain))
+        return F.when(text.rlike(_NOT_ASCII), F.translate(folded, _FOLD_FROM, _FOLD_TO)).otherwise(text)
+
+    return bind(column, fold)
 
 
 def normalize_text(column: Column) -> Column:
@@ -89,8 +97,6 @@ _AMP = "\ue000"  # stands for an ampersand that must not start another entity
 
 
 def _decode_numeric(column: Column, pattern: str, base: int) -> Column:
-    codes = F.array_distinct(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)))
-
     def substitute(text: Column, entity: Column) -> Column:
         digits = F.regexp_extract(entity, pattern, 1)
         number = F.conv(F.right(digits, F.lit(9)), base, 10).cast("long")
@@ -98,19 +104,24 @@ def _decode_numeric(column: Column, pattern: str, base: int) -> Column:
         char = F.when(number == 38, F.lit(_AMP)).otherwise(_code_point(F.when(valid, number).otherwise(F.lit(63))))
         return F.when(valid, F.replace(text, entity, char)).otherwise(text)
 
-    return F.when(F.size(codes) > 0, F.aggregate(codes, column, substitute)).otherwise(column)
+    def decode(text: Column) -> Column:
+        return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), text, substitute)
 
+    return bind(column, decode)
 
-def decode_entities(column: Column) -> Column:
-    """Named and numeric entities, decoded once: `&amp;lt;` becomes `&lt;`."""
-    text = column
+
+def _decode(text: Column) -> Column:
     for name, char in ENTITIES.items():
         if name != "amp":
             text = F.regexp_replace(text, f"(?i)&{name};", char)
     text = _decode_numeric(text, r"(?i)&#x([0-9a-f]+);", 16)
     text = _decode_numeric(text, r"&#(\d+);", 10)
-    text = F.regexp_replace(text, r"(?i)&amp;", _AMP)
-    return F.when(F.contains(column, F.lit("&")), F.replace(text, F.lit(_AMP), F.lit("&"))).otherwise(column)
+    return F.replace(F.regexp_replace(text, r"(?i)&amp;", _AMP), F.lit(_AMP), F.lit("&"))
+
+
+def decode_entities(column: Column) -> Column:
+    """Named and numeric entities, decoded once: `&amp;lt;` becomes `&lt;`."""
+    return bind(column, lambda text: F.when(F.contains(text, F.lit("&")), _decode(text)).otherwise(text))
 
 
 def html_to_text(column: Column, limit: int = MAX_TEXT) -> Column:
@@ -130,8 +141,12 @@ def html_to_text(column: Column, limit: int = MAX_TEXT) -> Column:
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     text = F.regexp_replace(text, r"(\n- [^\n]+)\n\n(?=- )", "$1\n")
     text = F.regexp_replace(text, r"^\s+|\s+$", "")
-    cut = F.concat(F.regexp_replace(F.substring(text, 1, limit), r"\s+$", ""), F.lit("…"))
-    return F.when(F.length(text) > limit, cut).otherwise(text)
+
+    def cut(t: Column) -> Column:
+        short = F.concat(F.regexp_replace(F.substring(t, 1, limit), r"\s+$", ""), F.lit("…"))
+        return F.when(F.length(t) > limit, short).otherwise(t)
+
+    return bind(text, cut)
 
 
 _CITY_ARRAY_PATTERN = r"\b(" + "|".join(CITY_WORDS) + r")\b"
