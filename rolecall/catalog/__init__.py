@@ -33,7 +33,7 @@ def _load() -> None:
         import_module(f"rolecall.catalog.{name}")
 
 
-MODULES = ["search", "stats", "windows", "ingest", "sync", "match", "feeds", "exports", "quality", "activity", "streams"]
+MODULES = ["search", "stats", "windows", "ingest", "sync", "match", "feeds", "exports", "quality", "activity", "streams", "resume"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
