@@ -82,25 +82,59 @@ def score_job(pairs: DataFrame) -> DataFrame:
     return df.withColumn("score", score).withColumn("reasons", F.array_compact(F.array(by_skill, place, pay)))
 
 
-def _pool(candidates: DataFrame, jobs: DataFrame, applied: DataFrame, depth: int) -> DataFrame:
-    """(user_id, id, posted_at) of each candidate's newest POOL fitting roles, when no
-    candidate here has more than `depth - POOL` applications."""
-    levels = F.when(F.size("levels") > 0, F.col("levels")).otherwise(F.array(F.lit(ANY_LEVEL)))
-    asks = candidates.select("user_id", F.explode(F.array_distinct("skills")).alias("skill"), levels.alias("_l")).select(
-        "user_id", "skill", F.explode("_l").alias("level")
-    )
+def _merged_lists(profiles: DataFrame, jobs: DataFrame, depth: int) -> DataFrame:
+    """(profile, roles): for each distinct profile its newest `depth` fitting roles, newest first,
+    as an array of struct(posted_at, id)."""
     newest = Window.partitionBy("skill", "level").orderBy(F.desc("posted_at"), F.desc("id"))
     lists = (
         jobs.select("id", "posted_at", F.explode(F.array_distinct("tags")).alias("skill"), "level")
         .select("id", "posted_at", "skill", F.explode(F.array("level", F.lit(ANY_LEVEL))).alias("level"))
         .withColumn("_r", F.row_number().over(newest))
         .filter(F.col("_r") <= depth)
-        .drop("_r")
+        .groupBy("skill", "level")
+        .agg(F.collect_list(F.struct("posted_at", "id")).alias("list"))
+    )
+    levels = F.when(F.size("levels") > 0, F.col("levels")).otherwise(F.array(F.lit(ANY_LEVEL)))
+    asks = profiles.select("profile", F.explode("skills").alias("skill"), levels.alias("_l")).select(
+        "profile", "skill", F.explode("_l").alias("level")
+    )
+    # A profile meets at most 40 skills x 4 levels of lists, each `depth` long.
+    merged = asks.join(lists, ["skill", "level"]).groupBy("profile").agg(F.flatten(F.collect_list("list")).alias("all"))
+    return merged.select("profile", F.slice(F.sort_array(F.array_distinct("all"), asc=False), 1, depth).alias("roles"))
+
+
+def _with_profile(candidates: DataFrame) -> DataFrame:
+    """Candidates that ask for the same thing share one profile, so lists are merged once for them."""
+    skills, levels = F.array_sort(F.array_distinct("skills")), levels_for(F.col("years_experience"))
+    known = candidates.filter(F.size("skills") > 0).select("user_id", skills.alias("skills"), levels.alias("levels"))
+    return known.withColumn("profile", F.sha2(F.to_json(F.struct("skills", "levels")), 256))
+
+
+def _profiles(known: DataFrame) -> DataFrame:
+    return known.groupBy("profile").agg(F.any_value("skills").alias("skills"), F.any_value("levels").alias("levels"))
+
+
+def _usual_pools(known: DataFrame, jobs: DataFrame, applied: DataFrame) -> DataFrame:
+    """Pools of candidates with few applications: these fit in an array per candidate."""
+    merged = _merged_lists(_profiles(known), jobs, POOL + USUAL_APPLICATIONS)
+    done = applied.groupBy("user_id").agg(F.collect_list("id").alias("done"))
+    joined = known.select("user_id", "profile").join(merged, "profile").join(done, "user_id", "left")
+    fresh = F.when(F.col("done").isNull(), F.col("roles")).otherwise(
+        F.filter("roles", lambda r: ~F.array_contains("done", r["id"]))
     )
-    met = asks.join(lists, ["skill", "level"]).select("user_id", "id", "posted_at").distinct()
+    return joined.select("user_id", F.inline(F.slice(fresh, 1, POOL))).select("user_id", "id", "posted_at")
+
+
+def _busy_pools(known: DataFrame, jobs: DataFrame, applied: DataFrame, most: int) -> DataFrame:
+    """Pools of candidates with many applications: lists as deep as needed, an anti-join for the rest."""
+    named = known.select(F.explode("skills").alias("_s")).distinct()
+    wanted = jobs.select("id", F.explode("tags").alias("_s")).join(named, "_s", "left_semi").select("id").distinct()
+    merged = _merged_lists(_profiles(known), jobs.join(wanted, "id", "left_semi"), POOL + most)
+    met = known.select("user_id", "profile").join(merged, "profile").select("user_id", F.inline("roles"))
     fresh = met.join(applied, ["user_id", "id"], "left_anti")
     per_user = Window.partitionBy("user_id").orderBy(F.desc("posted_at"), F.desc("id"))
-    return fresh.withColumn("_r", F.row_number().over(per_user)).filter(F.col("_r") <= POOL).drop("_r")
+    ranked = fresh.withColumn("_r", F.row_number().over(per_user)).filter(F.col("_r") <= POOL)
+    return ranked.select("user_id", "id", "posted_at")
 
 
 def match_pools(candidates: DataFrame, jobs: DataFrame, applications: DataFrame) -> DataFrame:
@@ -111,19 +145,16 @@ def match_pools(candidates: DataFrame, jobs: DataFrame, applications: DataFrame)
     as deep as they need, over the skills they name.
     """
     active = jobs.filter(is_active()).select("id", "posted_at", "tags", "level")
-    known = candidates.filter(F.size("skills") > 0).select(
-        "user_id", "skills", levels_for(F.col("years_experience")).alias("levels")
-    )
+    known = _with_profile(candidates)
     applied = applications.select("user_id", F.col("job_id").alias("id")).distinct()
     counts = applied.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > USUAL_APPLICATIONS)
-    deepest = counts.agg(F.max("_n")).first()[0]
-    if deepest is None:
-        return _pool(known, active, applied, POOL + USUAL_APPLICATIONS)
-    usual = _pool(known.join(counts, "user_id", "left_anti"), active, applied, POOL + USUAL_APPLICATIONS)
+    most = counts.agg(F.max("_n")).first()[0]
+    if most is None:
+        return _usual_pools(known, active, applied)
+    usual = known.join(counts, "user_id", "left_anti")
+    few = applied.join(counts, "user_id", "left_anti")
     busy = known.join(counts.select("user_id"), "user_id", "left_semi")
-    named = busy.select(F.explode("skills").alias("_s")).distinct()
-    wanted = active.select("id", F.explode("tags").alias("_s")).join(named, "_s", "left_semi").select("id").distinct()
-    return usual.unionByName(_pool(busy, active.join(wanted, "id", "left_semi"), applied, POOL + deepest))
+    return _usual_pools(usual, active, few).unionByName(_busy_pools(busy, active, applied, most))
 
 
 def recommend_jobs(candidates: DataFrame, jobs: DataFrame, applications: DataFrame, k: int = RESULTS) -> DataFrame:
