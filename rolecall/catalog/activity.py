@@ -87,7 +87,8 @@ def claims(t):
 @query(
     "L21_claim_refused",
     f"""SELECT user_id, company_id, CASE user_id % 4 WHEN 0 THEN 'personal email address' ELSE 'not an email address' END AS why
- FROM ({_CLAIMS}) c WHERE user_id % 4 IN (0, 2)""",
+ FROM ({_CLAIMS}) c WHERE user_id % 4 IN (0, 2) UNION ALL
+ SELECT user_id, company_id, 'unknown company' FROM ({_CLAIMS}) c WHERE user_id % 4 IN (1, 3) AND company_id NOT IN (SELECT id FROM v_company)""",
 )
 def refused_claims(t):
     return activity.claim_companies(t.sql(_MEMBERS), t.sql(_CLAIMS), t.v_company).refused

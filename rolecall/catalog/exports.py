@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rolecall.catalog import query
 from rolecall.functions import display_text
 from rolecall.functions.text import html_to_text
+from rolecall.operators import pages
 from rolecall.plans.views import AS_OF
 from rolecall.sources import exports
 
@@ -190,3 +191,29 @@ _TAGS = "(p|div|ul|ol|section|table|tr|blockquote)"
 )
 def page_text(t):
     return t.pages.select("page_id", html_to_text(F.col("html")).alias("text"))
+
+
+@query(
+    "F32_description_headings",
+    r"""WITH d AS (SELECT conv_id, turn, unnest(string_split(concat('## ', role, chr(10), 'Turn ', CAST(turn AS VARCHAR), ':', chr(10),
+  '- not this:', chr(10), 'Is it? Yes:', chr(10), text), chr(10))) AS line FROM conversations),
+ h AS (SELECT conv_id, turn, CASE WHEN line LIKE '## %' THEN trim(substr(line, 4)) WHEN line LIKE '- %' OR length(line) > 60 OR line NOT LIKE '%:' THEN ''
+  WHEN regexp_matches(line, '[.!?]') OR length(regexp_replace(trim(line), '\S+', 'x', 'g')) > 15 THEN '' ELSE trim(substr(line, 1, length(line) - 1)) END AS heading FROM d)
+ SELECT conv_id, turn, heading FROM h WHERE heading <> ''""",
+)
+def headings(t):
+    document = F.concat(
+        F.lit("## "), "role", F.lit("\nTurn "), F.col("turn").cast("string"), F.lit(":\n- not this:\nIs it? Yes:\n"), "text"
+    )
+    found = F.array_compact(F.transform(F.split(document, "\n"), display_text.heading_text))
+    return t.conversations.select("conv_id", "turn", F.explode(found).alias("heading"))
+
+
+@query(
+    "F35_company_logo",
+    """SELECT id, CASE WHEN id % 3 = 0 THEN 'https://x.in/logo.png' WHEN id % 2 = 0 THEN concat('/logos/', slug, '.webp') END AS logo FROM v_company""",
+)
+def logos(t):
+    companies = t.v_company.withColumn("logo_url", F.when(F.col("id") % 3 == 0, "https://x.in/logo.png"))
+    manifest = t.v_company.filter(F.col("id") % 2 == 0).select("slug")
+    return pages.company_logos(companies, manifest).select("id", "logo")

@@ -112,3 +112,12 @@ def safe_referrer(url: Column) -> Column:
 
 def country_code(code: Column) -> Column:
     return F.when(code.rlike(r"^[A-Z]{2}$"), code)
+
+
+def heading_text(line: Column) -> Column:
+    """The heading a description line stands for: `## ` lines, and short labels ending in a colon."""
+    marked = F.trim(F.substring(line, F.lit(4), F.length(line)))
+    label = F.trim(F.regexp_replace(line, ":$", ""))
+    short = ~line.startswith("- ") & (F.length(line) <= 60) & line.endswith(":")
+    plain = (label != "") & (F.size(F.split(label, r"\s+")) <= 8) & ~label.rlike(r"[.!?]")
+    return F.when(line.startswith("## "), F.when(marked != "", marked)).when(short & plain, label)

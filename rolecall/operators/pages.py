@@ -75,3 +75,10 @@ def sync_order(companies: DataFrame) -> DataFrame:
 
 def claimable(companies: DataFrame, k: int = 1000) -> DataFrame:
     return companies.select("id", "name").orderBy(F.lower("name"), "name", "id").limit(k)
+
+
+def company_logos(companies: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Adds `logo`: the stored URL, else the file a manifest row (`slug`) stands for, else null."""
+    known = manifest.select("slug", F.concat(F.lit("/logos/"), "slug", F.lit(".webp")).alias("_file")).dropDuplicates(["slug"])
+    stored = F.when(F.col("logo_url") != "", F.col("logo_url"))
+    return companies.join(known, "slug", "left").withColumn("logo", F.coalesce(stored, "_file")).drop("_file")

@@ -190,7 +190,8 @@ def suggest_places(vocabulary: DataFrame, terms: DataFrame, limit: int = LIMIT)
     mark = F.when(alias.isNull(), highlight_range(F.col("label"), F.col("typed")))
     shown = matched.select("term_id", "pos", "kind", "label", alias.alias("alias"), mark.alias("mark"))
     # Vocabulary rows are at most the city list and one more: gathered into one row of `limit` places.
-    busiest = Window.orderBy(F.desc("count"), F.lower("label"), "label")
+    order = constant(KIND_ORDER, "map<string,int>")
+    busiest = Window.orderBy(F.desc("count"), order[F.col("kind")], F.length("label"), F.lower("label"), F.col("label"))
     top = vocabulary.withColumn("pos", F.row_number().over(busiest)).filter(F.col("pos") <= limit)
     everywhere = top.agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "label"))).alias("places")).withColumn("_k", F.lit(0))
     blank = asked.filter(F.length("term") == 0).select("term_id", F.lit(0).alias("_k"))

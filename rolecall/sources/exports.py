@@ -112,8 +112,9 @@ def read_import(spark: SparkSession, path: str) -> DataFrame:
     cells = [F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in sheet.columns]
     records = sheet.select(*cells).withColumn("_at", F.monotonically_increasing_id())
     filled = records.filter(F.concat(*sheet.columns) != "")
+    # One row over the limit is enough to refuse the sheet, so numbering never sees more.
     order = Window.orderBy("_at")
-    return filled.withColumn("row_number", F.row_number().over(order) + 1).drop("_at")
+    return filled.orderBy("_at").limit(MAX_IMPORT_ROWS + 1).withColumn("row_number", F.row_number().over(order) + 1).drop("_at")
 
 
 def check_import(records: DataFrame, companies: DataFrame) -> DataFrame:
@@ -129,12 +130,17 @@ def check_import(records: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def import_jobs(records: DataFrame, companies: DataFrame) -> ImportResult:
-    """All or nothing: one bad record leaves `rows` empty.
+    """All or nothing: one bad record, or a record too many, leaves `rows` empty.
 
     The rejected count is joined back as a condition, so nothing is collected.
     """
     checked = check_import(records, companies)
-    errors = checked.filter(F.size("errors") > 0).select("row_number", "errors")
+    too_many = checked.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_IMPORT_ROWS)
+    errors = checked.filter(F.size("errors") > 0).select("row_number", "errors").unionByName(
+        too_many.select(
+            F.lit(None).cast("int").alias("row_number"), F.array(F.lit(f"Import at most {MAX_IMPORT_ROWS} rows at a time.")).alias("errors")
+        )
+    )
     rejected = errors.agg(F.count(F.lit(1)).alias("_bad")).filter("_bad = 0").select(F.lit(0).alias("_k"))
     paid = F.col("salary_min").isNotNull() & F.col("salary_max").isNotNull()
     suffix = F.substring(F.sha1(F.concat_ws("|", "company_id", "title", F.col("row_number").cast("string"))), 1, 6)
