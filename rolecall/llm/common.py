@@ -19,12 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The write's own shuffle files are dropped when it ends; nothing reads them again.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,6 +54,29 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 500_
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+#: Stands for a missing doc_id where documents are ordered: after all others.
+NO_ID = (1 << 63) - 1
+
+
+def identified(documents: DataFrame) -> DataFrame:
+    """(doc_id, sub, text): a key for every different row, ordered like doc_id, null texts empty.
+
+    `sub` is 0 unless rows share a doc_id or have none; those are told apart, and
+    ordered, by a hash of the text. Rows equal in doc_id and text keep one key.
+    """
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    shared = staged(docs.groupBy("doc_id").count().filter(f"count > 1 OR doc_id = {NO_ID}").select("doc_id"), "shared")
+    if shared.isEmpty():
+        return docs.select("doc_id", F.lit(0).cast("long").alias("sub"), "text")
+    marked = docs.join(shared.withColumn("_many", F.lit(True)), "doc_id", "left")
+    return marked.select("doc_id", F.when(F.col("_many"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("sub"), "text")
+
+
+def real_id(column: str = "doc_id"):
+    """The doc_id of an identified row, null again where it was missing."""
+    return F.when(F.col(column) != NO_ID, F.col(column)).alias("doc_id")
+
+
 def text_values(column: pa.Array) -> list[bytes]:
     """Every value's bytes; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()

@@ -37,12 +37,12 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class RangeHash:
-    """Hashes of byte ranges of one buffer; equal ranges hash alike wherever they start."""
+    """Hashes of ranges of one buffer of bytes, or of 64-bit values; equal ranges hash alike wherever they start."""
 
     def __init__(self, buffer: np.ndarray):
         n = len(buffer)
         self.sums = np.zeros(n + 1, _U)
-        np.cumsum(_TABLE[buffer] * _powers(_BASE, n), out=self.sums[1:])
+        np.cumsum((_TABLE[buffer] if buffer.dtype == np.uint8 else buffer) * _powers(_BASE, n), out=self.sums[1:])
         self.unshift = _powers(_BASE_INVERSE, n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
