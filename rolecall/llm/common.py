@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,11 @@ from pyspark.sql import functions as F
 from rolecall.session import ensure_checkpoint_dir, scratch_path
 
 #: Text handled at once inside a task; one longer document is handled alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Rows and bytes that go to a Python worker at once, at most (a longer row goes alone).
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +44,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size where it is larger: whole texts are long rows."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(re.sub(r"\D", "", str(spark.conf.get(key))) or 0) <= most:
+            spark.conf.set(key, str(most))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,7 +27,7 @@ _POWERS = {}
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(1 << 20, 1 << n.bit_length())
         steps = np.full(size, base, _U)
         steps[0] = 1
         have = np.cumprod(steps)
