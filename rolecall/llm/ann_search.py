@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import staged
+from rolecall.llm.common import small_batches, staged
 
 #: Projections, and the stopping test's confidence.
 M, CONFIDENCE = 8, 0.97
@@ -148,6 +148,7 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10) ->
     different vector; a query never finds its own vec_id.
     """
     spark = embeddings.sparkSession
+    small_batches(spark)
     vector = F.col("embedding").cast("array<double>")
     ok = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).filter(ok)

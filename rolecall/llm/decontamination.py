@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import blocks, ragged, staged, text_values
+from rolecall.llm.common import blocks, ragged, small_batches, staged, text_values
 from rolecall.llm.hashing import RangeHash
 
 #: Words of a step; a passage is two steps.
@@ -246,6 +246,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Equal rows of a table give one row.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     number = items.count()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import staged, text_values
+from rolecall.llm.common import small_batches, text_values
 
 #: Hashed features.
 FEATURES = 2048
@@ -120,6 +120,7 @@ class Model:
 
 def fit_languages(labelled: DataFrame) -> Model | None:
     """A model from (doc_id, text, lang) rows; null languages, and texts without letters, teach nothing."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.length("text")).alias("_order"))
     rows = rows.filter("lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
     pick = Window.partitionBy("lang").orderBy("_order", "text")
@@ -147,6 +148,7 @@ def identify_languages(documents: DataFrame, model: Model | None) -> DataFrame:
     certain. Repeated rows get equal answers.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     columns = [c for c in documents.columns if c.lower() not in ("lang_pred", "score")]
     rows = documents.select(*columns)

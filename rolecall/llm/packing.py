@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import blocks, ragged, text_values
+from rolecall.llm.common import blocks, ragged, small_batches, text_values
 from rolecall.llm.words import WordCodec
 
 #: The id that closes a document.
@@ -71,5 +71,6 @@ def pack_binary(documents: DataFrame, tokenizer_path: str, longest: int = 2048)
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(_pieces(tokenizer_path, longest), _SCHEMA)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolecall.llm import oracles
 from rolecall.llm.ann_search import nearest_neighbours
 from rolecall.llm.chat_format import link_tool_calls
 from rolecall.llm.common import table
@@ -112,4 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_jaccard_join": oracles.JACCARD,
+    "op3_secret_scan": oracles.SECRETS,
+    "op4_suffix_dedup": oracles.REPEATS,
+    "op8_chat_format": oracles.CHAT,
+}

@@ -116,3 +116,17 @@ def scan_secrets(documents: DataFrame, rules=RULES, broadcast_rows: int = 200_00
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with every stretch of touching or overlapping spans replaced by its first kind in brackets."""
+    walked = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.when(
+            s["start"] < acc["at"],
+            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")),
+        ).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+    return F.when(F.size(spans) > 0, walked).otherwise(text)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rolecall.llm.buckets import dealt, gathered, scatter, sent_type
-from rolecall.llm.common import blocks, identified, real_id, shuffle_partitions, staged, text_bytes, text_values
+from rolecall.llm.common import blocks, identified, real_id, shuffle_partitions, small_batches, staged, text_bytes, text_values
 from rolecall.llm.hashing import RangeHash, mix
 from rolecall.llm.spans import INTERVALS, Earliest, merged, pack_intervals, per_document
 
@@ -141,6 +141,7 @@ def remove_repeated_spans(documents: DataFrame) -> DataFrame:
     stay whole. Rows without doc_id come last; rows equal in doc_id and text are one
     document and each get its result.
     """
+    small_batches(documents.sparkSession)
     docs = identified(documents)
     buckets = int(max(shuffle_partitions(docs.sparkSession), text_bytes(docs) // BUCKET_BYTES + 1))
     late = staged(dealt(docs.mapInArrow(_spans(buckets), sent_type(5)), buckets).mapInArrow(_late(buckets), INTERVALS), "spans")

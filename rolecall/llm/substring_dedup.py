@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rolecall.llm.anchors import anchors
 from rolecall.llm.buckets import dealt, gathered, scatter, sent_type
-from rolecall.llm.common import blocks, identified, ragged, real_id, shuffle_partitions, staged, text_bytes, text_values
+from rolecall.llm.common import blocks, identified, ragged, real_id, shuffle_partitions, small_batches, staged, text_bytes, text_values
 from rolecall.llm.hashing import RangeHash, mix
 from rolecall.llm.spans import INTERVALS, Earliest, merged, pack_intervals, per_document
 
@@ -162,6 +162,7 @@ def remove_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
     """
     if length < GRAM or length - GRAM > 255:
         raise ValueError(f"length must be {GRAM} to {GRAM + 255}")
+    small_batches(documents.sparkSession)
     docs = identified(documents)
     buckets = int(max(shuffle_partitions(docs.sparkSession), text_bytes(docs) // BUCKET_BYTES + 1))
     sampled = docs.mapInArrow(_sampled(length, buckets), sent_type(6))
