@@ -6,7 +6,8 @@ TF-IDF rows over hashed words; a randomised decomposition of their Gram matrix
 leading singular directions. Corpus and benchmark passages are compared by the
 cosine of their whitened coordinates; the pairs above NEAR are candidates. A
 candidate's surroundings are then held against the whole item: the longest common
-subsequence of words, and whether the item's answer (its last sentence) is there.
+subsequence of its words, leaving out words that are common in the corpus, and
+whether the item's answer (its last sentence) is there.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ FEATURES, RANK, SPARE = 1 << 14, 64, 16
 NEAR = 0.42
 #: An item is leaked if the common subsequence holds COPIED of its words, or PARAPHRASED of them and ANSWERED of its answer's.
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.55, 0.8
+#: A word in more than this share of the corpus's steps is common and proves nothing; an item needs TELLING other words, else all count.
+COMMON, TELLING = 0.02, 3
 #: Benchmark items held against the corpus in one scan.
 ITEM_BLOCK = 2_000
 #: Parts in which the sketch is summed.
@@ -117,13 +120,14 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "sums"])
 
 
-def singular_directions(texts: DataFrame) -> np.ndarray:
-    """FEATURES x RANK: takes a passage's word counts to whitened coordinates of the corpus's leading directions."""
+def singular_directions(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES x RANK, taking a passage's word counts to whitened coordinates of the corpus's
+    leading directions; and which features are common."""
     context = texts.sparkSession.sparkContext
     counts = texts.mapInArrow(_document_frequencies, "feature long, n long").groupBy("feature").sum("n").toPandas().sort_values("feature")
     counts = counts.iloc[:, 1].to_numpy(np.float64)
     if not len(counts):
-        return np.zeros((FEATURES, RANK), np.float32)
+        return np.zeros((FEATURES, RANK), np.float32), np.zeros(FEATURES, bool)
     idf = (np.log((counts[0] + 1) / (counts[1:] + 1)) + 1).astype(np.float32)
     sketch = texts.mapInArrow(_sketch(context.broadcast(idf)), "part int, sums binary")
     parts = sketch.repartition(PARTS, "part").mapInArrow(_added, "part int, sums binary").toPandas().sort_values("part")
@@ -136,7 +140,8 @@ def singular_directions(texts: DataFrame) -> np.ndarray:
     values = np.maximum(values, 1e-9 * max(values.max(), 1e-30))
     directions, scale, _ = np.linalg.svd((y @ vectors) / np.sqrt(values), full_matrices=False)
     scale = np.sqrt(np.maximum(scale[:RANK] ** 2 - shift, 1e-12))
-    return (idf[:, None] * directions[:, :RANK] / np.maximum(scale, 1e-3 * scale.max())).astype(np.float32)
+    table = (idf[:, None] * directions[:, :RANK] / np.maximum(scale, 1e-3 * scale.max())).astype(np.float32)
+    return table, counts[1:] > COMMON * counts[0]
 
 
 def _passages(features: np.ndarray, counts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,9 +180,9 @@ def common_subsequence(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Some benchmark items: words, answers, and the coordinates of their passages."""
+    """Some benchmark items: telling words, those of the answers, and the coordinates of their passages."""
 
-    def __init__(self, ids: list, texts: list[str], table: np.ndarray):
+    def __init__(self, ids: list, texts: list[str], table: np.ndarray, common: np.ndarray):
         raw = [t.encode() for t in texts]
         words, counts = words_of(raw)
         edges = np.concatenate([[0], np.cumsum(counts)])
@@ -188,11 +193,16 @@ class Items:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         self.answers = [found[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         self.coordinates, self.item, _ = _passages(_features(words), counts, table)
+        self.sizes = counts
+        self.telling = np.array([(~common[_features(w)]).sum() >= TELLING for w in self.words], bool)
+        for parts in (self.words, self.answers):
+            for i in np.flatnonzero(self.telling):
+                parts[i] = parts[i][~common[_features(parts[i])]]
 
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, items = shared.value
+        table, common, items = shared.value
         for batch in batches:
             texts = text_values(batch.column(2))
             for lo, hi in blocks(texts, 1 << 20):
@@ -201,6 +211,7 @@ def _search(shared):
                     continue
                 near, owner, start = _passages(_features(words), counts, table)
                 heads = np.cumsum(counts) - counts
+                told = np.where(common[_features(words)], _U(0), words)
                 pairs = []
                 for a in range(0, len(near), 8192):
                     row, column = np.nonzero(near[a : a + 8192] @ items.coordinates.T >= NEAR)
@@ -210,10 +221,11 @@ def _search(shared):
                 for j in np.unique(item):
                     at = np.unique(row[item == j])
                     size = len(items.words[j])
-                    reach = size + STEP  # the item may begin before the passage or end behind it
+                    reach = int(items.sizes[j]) + STEP  # the item may begin before the passage or end behind it
                     place = (start[at] - reach)[:, None] + np.arange(2 * reach + 2 * STEP)
                     inside = (place >= 0) & (place < counts[owner[at]][:, None])
-                    around = np.where(inside, words[np.where(inside, place + heads[owner[at]][:, None], 0)], _U(0))
+                    seen = told if items.telling[j] else words
+                    around = np.where(inside, seen[np.where(inside, place + heads[owner[at]][:, None], 0)], _U(0))
                     share = common_subsequence(items.words[j], around) / size
                     maybe = share >= min(PARAPHRASED, COPIED)
                     answer = np.zeros(len(at))
@@ -250,15 +262,15 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     number = items.count()
-    table = singular_directions(docs.select("text")) if number else None
+    table, common = singular_directions(docs.select("text")) if number else (None, None)
     blocks_of = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-number // ITEM_BLOCK)))))
     found = []
     for block in range(-(-number // ITEM_BLOCK)):
         rows = blocks_of.filter(F.col("_block") == block).select("item_id", "text").toPandas().sort_values(["item_id", "text"])
-        kept = [len(w) > 0 for w in Items(rows["item_id"].tolist(), rows["text"].tolist(), table).words] if len(rows) else []
+        kept = [n > 0 for n in Items(rows["item_id"].tolist(), rows["text"].tolist(), table, common).sizes] if len(rows) else []
         rows = rows[kept] if any(kept) else rows[:0]
         if len(rows):
-            shared = spark.sparkContext.broadcast((table, Items(rows["item_id"].tolist(), rows["text"].tolist(), table)))
+            shared = spark.sparkContext.broadcast((table, common, Items(rows["item_id"].tolist(), rows["text"].tolist(), table, common)))
             found.append(docs.mapInArrow(_search(shared), "doc_id long, text_hash long, item_id long, lcs_share double, answer_share double"))
     if not found:
         return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, lcs_share double, answer_share double")

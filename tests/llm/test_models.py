@@ -48,8 +48,8 @@ def test_recall_against_brute_force(spark):
 
 def test_small_tables_are_searched_exactly_with_ties_copies_and_bad_vectors(spark):
     rng = random.Random(2)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(40)] + [(40 + i, [1.0, 0, 0, 0, 0, 0.5]) for i in range(30)]
-    bad = [(200, None), (300, [0.0] * 6), (400, [float("nan")] * 6), (500, [None, 1.0, 1, 1, 1, 1]), (600, [float("inf")] * 6), (700, []), (800, [1.0, 2.0]), (None, [1.0] * 6)]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(40)] + [(40 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.5]) for i in range(30)]
+    bad = [(200, None), (300, [0.0] * 6), (400, [float("nan")] * 6), (500, [None, 1.0, 1.0, 1.0, 1.0, 1.0]), (600, [float("inf")] * 6), (700, []), (800, [1.0, 2.0]), (None, [1.0] * 6)]
     frame = spark.createDataFrame([(*r, 1, 2.0) for r in rows + bad + rows[:3]], "vec_id long, embedding array<double>, rank int, score double")
     got = {}
     for r in nearest_neighbours(frame, every=10, k=5).orderBy("rank").collect():

@@ -146,7 +146,7 @@ def spans_kept(rows):
 
 def test_sentence_spans_equal_brute_force(spark):
     rng = random.Random(3)
-    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 14))).capitalize() + rng.choice(".!?") for _ in range(25)]
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 14))).capitalize() + rng.choice(".!?") for _ in range(7)]
     rows = [(i, rng.choice([" ", "\n"]).join(rng.choices(pool, k=rng.randint(0, 12)))) for i in range(150)]
     want = spans_kept(rows)
     got = {r.doc_id: (r.n_sentences, r.n_removed) for r in remove_repeated_spans(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_removed int")).collect()}

@@ -57,7 +57,7 @@ def test_trigram_queries(pattern, yes, no):
 def spans_of(text):
     found = []
     for rank, rule in enumerate(RULES):
-        for m in re.finditer(rule.pattern, text or ""):
+        for m in re.finditer(rule.pattern, text or "", re.A):  # letters of either case are ASCII letters
             if len(m[rule.group]) >= rule.least:
                 found.append((m.start(), rank, f"{rule.kind}:{m.start()}:{m.end()}"))
     return [s for *_, s in sorted(found)]
@@ -129,7 +129,7 @@ def test_words_are_split_at_punctuation():
 
 
 def prose(rng, words):
-    return " ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(3000)}", f"w{rng.randrange(3000)}", f"w{rng.randrange(3000)}"]) for _ in range(words))
+    return " ".join(rng.choice(["the", "of", f"w{rng.randrange(3000)}", f"w{rng.randrange(3000)}", f"w{rng.randrange(3000)}"]) for _ in range(words))
 
 
 def test_leaks_and_paraphrases_are_found_and_clean_texts_are_not(spark):
