@@ -13,8 +13,9 @@ from rolecall.streaming import streams
 _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _events(t, kind):
-    events = streams.read_events(t.spark, t.sf_dir, _SCHEMA, "events.parquet").filter(F.col("event_type") == kind)
+def _events(t, kind=None):
+    events = streams.read_events(t.spark, t.sf_dir, _SCHEMA, "events.parquet")
+    events = events.filter(F.col("event_type") == kind) if kind else events
     number = F.get_json_object("props", "$.k")
     return events.withColumn("job_id", F.concat(F.lit("job"), F.lpad(number, 12, "0"))).withColumn("created_at", F.col("ts"))
 
@@ -85,14 +86,14 @@ def recent(t):
 
 @query(
     "X6_rate_flag",
-    """SELECT start, event_type AS client, requests FROM (
- SELECT time_bucket(INTERVAL '1 hour', ts) - i * INTERVAL '1 hour' AS start, event_type, count(*) AS requests
- FROM events, range(0, 6) r(i) WHERE event_type = 'error' GROUP BY 1, 2) x WHERE requests > 20
- AND start + INTERVAL '6 hour' <= (SELECT max(ts) - INTERVAL '6 hour' FROM events WHERE event_type = 'error')""",
+    """SELECT start, user_id AS client, requests FROM (
+ SELECT time_bucket(INTERVAL '1 day', ts) - i * INTERVAL '1 day' AS start, user_id, count(*) AS requests
+ FROM events, range(0, 4) r(i) GROUP BY 1, 2) x WHERE requests > 2
+ AND start + INTERVAL '4 day' <= (SELECT max(ts) - INTERVAL '4 day' FROM events)""",
 )
 def rates(t):
-    requests = _events(t, "error").select("ts", "event_type")
-    return _run(t, streams.rate_flags(requests, "event_type", 20, "6 hours", "1 hour"), "rates")
+    requests = _events(t).select("ts", "user_id")
+    return _run(t, streams.rate_flags(requests, "user_id", 2, "4 days", "1 day"), "rates")
 
 
 @query(
@@ -113,30 +114,39 @@ def funnel(t):
     return streams.funnel(t.v_click, t.v_application, changes)
 
 
-_SNAPSHOT = """SELECT company_id, source, id AS external_id, title, salary_disclosed, posted_at, status AS content_hash, false AS list_only,
- true AS detail_ready FROM v_job WHERE source = 'GREENHOUSE'"""
 _STORED = """SELECT company_id, source, id AS external_id, title, status, CASE WHEN featured THEN 'older' ELSE status END AS content_hash,
  posted_at, last_verified_at FROM v_job WHERE source <> 'LEVER' AND company_id % 3 <> 0"""
+# Two successive runs of one feed: the second lists fewer roles, some of them changed, and fails for some companies.
+_LANDED = """SELECT 1 AS run_id, company_id, source, id AS external_id, title, salary_disclosed, posted_at, status AS content_hash,
+ false AS list_only, true AS detail_ready FROM v_job WHERE source = 'GREENHOUSE'
+ UNION ALL SELECT 2, company_id, source, id, CASE WHEN k % 7 = 0 THEN concat(title, ' (second)') ELSE title END, salary_disclosed, posted_at,
+ CASE WHEN k % 7 = 0 THEN 'second' ELSE status END, false, true FROM (SELECT *, CAST(substr(id, 4) AS BIGINT) AS k FROM v_job) b
+ WHERE source = 'GREENHOUSE' AND k % 4 <> 0 AND company_id % 5 <> 0"""
+_RUNS = f"""SELECT c.run_id, c.company_id, 'GREENHOUSE' AS source, c.run_id = 1 OR c.company_id % 5 <> 0 AS ok,
+ CASE WHEN c.run_id = 2 AND c.company_id % 5 = 0 THEN 'Fetch failed: timeout' END AS error, CAST(count(l.external_id) AS BIGINT) AS fetched,
+ CASE WHEN c.run_id = 1 THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '{AS_OF}' + INTERVAL '1' DAY END AS run_at
+ FROM (SELECT DISTINCT r.run_id, company_id FROM v_job CROSS JOIN (SELECT 1 AS run_id UNION ALL SELECT 2) r WHERE source = 'GREENHOUSE') c
+ LEFT JOIN ({_LANDED}) l ON l.run_id = c.run_id AND l.company_id = c.company_id GROUP BY c.run_id, c.company_id"""
 
 
 @query(
     "X4_stream_sync",
-    f"""SELECT j.external_id, CASE WHEN j.source = 'MANUAL' THEN j.status ELSE 'ACTIVE' END AS status,
- CASE WHEN j.source = 'MANUAL' THEN j.last_verified_at ELSE TIMESTAMP '{AS_OF}' END AS last_verified_at FROM ({_STORED}) j
- UNION ALL SELECT external_id, 'ACTIVE', TIMESTAMP '{AS_OF}' FROM ({_SNAPSHOT}) s WHERE company_id % 3 = 0""",
+    f"""WITH two AS (SELECT company_id, ok AND fetched > 0 AS read FROM ({_RUNS}) r WHERE run_id = 2),
+ j AS (SELECT v.*, CAST(substr(v.id, 4) AS BIGINT) % 4 <> 0 AS again, CAST(substr(v.id, 4) AS BIGINT) % 7 = 0 AS changed, two.read
+  FROM v_job v JOIN two ON two.company_id = v.company_id WHERE v.source = 'GREENHOUSE')
+ SELECT external_id, title, status, last_verified_at FROM ({_STORED}) s WHERE source = 'MANUAL'
+ UNION ALL SELECT id, CASE WHEN read AND again AND changed THEN concat(title, ' (second)') ELSE title END,
+  CASE WHEN read AND NOT again THEN 'EXPIRED' ELSE 'ACTIVE' END,
+  CASE WHEN read AND again THEN TIMESTAMP '{AS_OF}' + INTERVAL '1' DAY ELSE TIMESTAMP '{AS_OF}' END FROM j""",
 )
 def synced(t):
-    """Listings landed as a snapshot file, read as a stream and diffed batch by batch."""
+    """Listings land as files, each run in several, and are diffed run by run once a run is whole."""
     path = scratch_path(t.spark, "sync")
-    landed = t.sql(_SNAPSHOT)
-    landed.write.parquet(f"{path}/landed")
+    landed = t.sql(_LANDED)
+    landed.repartition(3).write.parquet(f"{path}/landed")
+    runs = t.sql(_RUNS)
     stored = t.sql(_STORED)
-    arriving = t.spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/landed")
-
-    def feeds(batch):
-        read = batch.groupBy("company_id", "source").agg(F.count(F.lit(1)).alias("fetched"))
-        return read.select("*", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
-
-    run = streams.stream_sync(arriving, stored, feeds, as_of(), f"{path}/table", f"{path}/log")
+    arriving = t.spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed")
+    run = streams.stream_sync(arriving, runs, stored, f"{path}/table", f"{path}/log")
     run.awaitTermination()
-    return streams.latest_version(t.spark, f"{path}/table", run, stored).select("external_id", "status", "last_verified_at")
+    return streams.latest_version(t.spark, f"{path}/table", run, stored).select("external_id", "title", "status", "last_verified_at")

@@ -131,22 +131,45 @@ def stream_applications(clicks: DataFrame, stored: DataFrame, path: str, checkpo
     )
 
 
-def stream_sync(
-    snapshots: DataFrame, stored: DataFrame, feeds_of: Callable[[DataFrame], DataFrame], as_of: Column, path: str, checkpoint: str
-) -> StreamingQuery:
-    """Each batch of landed listings is one feed run, diffed against the table. `feeds_of`
-    gives the feed states of a batch."""
+def whole_runs(landed: DataFrame, runs: DataFrame, done: DataFrame) -> DataFrame:
+    """run_id, run_at of the runs, not yet done, whose feeds have landed all the rows they fetched."""
+    there = landed.groupBy("run_id", "company_id", "source").agg(F.count(F.lit(1)).alias("_rows"))
+    feeds = runs.join(there, ["run_id", "company_id", "source"], "left").join(done, "run_id", "left_anti")
+    short = F.col("ok") & (F.coalesce("_rows", F.lit(0)) < F.col("fetched"))
+    return feeds.groupBy("run_id").agg(F.count_if(short).alias("_short"), F.max("run_at").alias("run_at")).filter("_short = 0").drop("_short")
+
+
+def stream_sync(snapshots: DataFrame, runs: DataFrame, stored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Landed listings, diffed against the table run by run.
+
+    `snapshots`: listings with run_id, in any number of files and batches per run.
+    `runs`: one row per run and feed: run_id, company_id, source, ok, error, fetched, run_at.
+    Rows wait until their run is whole, so a run that arrives in parts expires
+    nothing early; whole runs are applied in order of run_id, each at its own time.
+    Version n holds the table, the waiting rows and the runs done after batch n.
+    """
+    first = stored.columns
 
-    def change(before: DataFrame, batch: DataFrame) -> DataFrame:
-        planned = sync.plan_sync(before, batch, feeds_of(batch))
-        return sync.apply_sync(planned, as_of, before.columns)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
 
-    return (
-        snapshots.writeStream.foreachBatch(versioned(path, stored, change))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        def before(part: str, schema, empty: DataFrame) -> DataFrame:
+            return empty if batch_id == 0 else spark.read.schema(schema).parquet(f"{path}/{part}v{batch_id - 1}")
+
+        table = before("", stored.schema, stored)
+        landed = before("waiting/", batch.schema, batch.limit(0)).union(batch)
+        done = before("done/", "run_id int", spark.createDataFrame([], "run_id int"))
+        ready = whole_runs(landed, runs, done).orderBy("run_id").collect()  # a few run ids
+        for run in ready:
+            rows = landed.filter(F.col("run_id") == run["run_id"]).drop("run_id")
+            feeds = runs.filter(F.col("run_id") == run["run_id"]).drop("run_id", "run_at")
+            table = sync.apply_sync(sync.plan_sync(table, rows, feeds), table, rows, F.lit(run["run_at"]), first)
+        ids = [run["run_id"] for run in ready]
+        landed.filter(~F.col("run_id").isin(ids)).write.mode("overwrite").parquet(f"{path}/waiting/v{batch_id}")
+        done.union(spark.createDataFrame([(i,) for i in ids], "run_id int")).write.mode("overwrite").parquet(f"{path}/done/v{batch_id}")
+        table.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+
+    return snapshots.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def funnel(clicks: DataFrame, applications: DataFrame, changes: DataFrame) -> DataFrame:
