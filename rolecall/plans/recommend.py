@@ -1,10 +1,13 @@
 """Open roles for every candidate at once, ranked with reasons.
 
-A candidate's pool is the newest 150 roles that share a skill and sit at a
+A candidate's pool is the newest `pool` roles that share a skill and sit at a
 fitting level, without roles already applied to. Joining candidates to every
 such role would grow with the product of the two tables. A role can only be in
 a pool if it is among the newest of one of its (skill, level) lists, so lists
-are cut to the depth a pool can reach before anything is joined.
+are cut to the depth a pool can reach before anything is joined: `pool`, and as
+many more as the busiest candidate of a profile that reads the list has applied
+to. The lists carry what scoring needs, so a candidate's roles are scored on the
+candidate's own row and nothing is exploded.
 """
 
 from __future__ import annotations
@@ -13,12 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolecall.functions.display_text import format_inr_short
+from rolecall.functions.text import bind
 from rolecall.operators.filters import is_active
 
 POOL = 150
 RESULTS = 12
-# Candidates with up to this many applications share the standard list depth.
-USUAL_APPLICATIONS = 100
 ANY_LEVEL = "*"
 
 # Years (up to and including) -> levels worth showing.
@@ -44,131 +46,126 @@ def levels_for(years: Column) -> Column:
     return chosen
 
 
-def score_job(pairs: DataFrame) -> DataFrame:
-    """Adds `score`, `matched_skills` and `reasons` to candidate-job rows.
+PERSON = ["skills", "years_experience", "city", "expected_salary"]
+ROLE = ["tags", "level", "location", "remote", "salary_max", "currency"]
 
-    Candidate columns: skills, years_experience, city, expected_salary. Job
-    columns: tags, level, location, remote, salary_max, currency.
-    """
-    wanted = F.transform("skills", lambda s: F.lower(s))
-    df = pairs.withColumn("matched_skills", F.filter("tags", lambda t: F.array_contains(wanted, F.lower(t))))
-    skills, n = F.col("matched_skills"), F.size("matched_skills")
-    has_city = F.length(F.coalesce("city", F.lit(""))) > 0
-    is_remote = has_city & (F.col("remote") == "REMOTE")
-    in_city = has_city & ~is_remote & F.contains(F.lower("location"), F.lower("city"))
-    paid = F.coalesce((F.col("currency") == "INR") & F.col("salary_max").isNotNull(), F.lit(False))
-    meets = F.coalesce(paid & (F.col("salary_max") >= F.col("expected_salary")), F.lit(False))
-    fits = F.array_contains(levels_for(F.col("years_experience")), F.col("level"))
+
+def _scored(role: Column, person: Column) -> Column:
+    """struct(score, matched_skills, reasons) of one role (ROLE fields) for one person (PERSON fields)."""
 
     def points(condition: Column, value: int) -> Column:
         return F.when(condition, value).otherwise(0)
 
-    score = (
-        F.least(n, F.lit(MOST_SKILLS)) * SKILL
-        + points(fits, LEVEL)
-        + points(is_remote, REMOTE)
-        + points(in_city, CITY)
-        + points(paid, SHOWS_PAY)
-        + points(meets, MEETS_PAY)
-    )
-    first, second = F.try_element_at(skills, F.lit(1)), F.try_element_at(skills, F.lit(2))
-    by_skill = (
-        F.when(n > 2, F.concat(first, F.lit(", "), second, F.lit(" and "), n - 2, F.lit(" more match")))
-        .when(n == 2, F.concat(first, F.lit(" and "), second, F.lit(" match")))
-        .when(n == 1, F.concat(first, F.lit(" matches")))
+    def facts(wanted: Column) -> Column:
+        has_city = F.length(F.coalesce(person["city"], F.lit(""))) > 0
+        is_remote = has_city & (role["remote"] == "REMOTE")
+        paid = F.coalesce((role["currency"] == "INR") & role["salary_max"].isNotNull(), F.lit(False))
+        return F.struct(
+            F.filter(role["tags"], lambda t: F.array_contains(wanted, F.lower(t))).alias("skills"),
+            is_remote.alias("remote"),
+            (has_city & ~is_remote & F.contains(F.lower(role["location"]), F.lower(person["city"]))).alias("near"),
+            paid.alias("paid"),
+            F.coalesce(paid & (role["salary_max"] >= person["expected_salary"]), F.lit(False)).alias("meets"),
+            F.array_contains(levels_for(person["years_experience"]), role["level"]).alias("fits"),
+        )
+
+    def judge(f: Column) -> Column:
+        skills, n = f["skills"], F.size(f["skills"])
+        score = (
+            F.least(n, F.lit(MOST_SKILLS)) * SKILL
+            + points(f["fits"], LEVEL)
+            + points(f["remote"], REMOTE)
+            + points(f["near"], CITY)
+            + points(f["paid"], SHOWS_PAY)
+            + points(f["meets"], MEETS_PAY)
+        )
+        first, second = F.try_element_at(skills, F.lit(1)), F.try_element_at(skills, F.lit(2))
+        by_skill = (
+            F.when(n > 2, F.concat(first, F.lit(", "), second, F.lit(" and "), n - 2, F.lit(" more match")))
+            .when(n == 2, F.concat(first, F.lit(" and "), second, F.lit(" match")))
+            .when(n == 1, F.concat(first, F.lit(" matches")))
+        )
+        place = F.when(f["remote"], F.lit("Remote")).when(f["near"], F.concat(F.lit("In "), person["city"]))
+        pay = F.when(f["meets"], F.concat(F.lit("Pays up to ₹"), format_inr_short(role["salary_max"])))
+        return F.struct(score.alias("score"), skills.alias("matched_skills"), F.array_compact(F.array(by_skill, place, pay)).alias("reasons"))
+
+    return bind(bind(F.transform(person["skills"], lambda s: F.lower(s)), facts), judge)
+
+
+def score_job(pairs: DataFrame) -> DataFrame:
+    """Adds `score`, `matched_skills` and `reasons` to candidate-job rows, which have the PERSON and ROLE columns."""
+    scored = _scored(F.struct(*ROLE), F.struct(*PERSON))
+    return pairs.select("*", scored.alias("_s")).select(*pairs.columns, "_s.*")
+
+
+def _with_profile(candidates: DataFrame, applied: DataFrame, pool: int) -> DataFrame:
+    """Candidates with skills, what they ask for, their applications, and how deep a list must reach for them.
+
+    Candidates that ask for the same thing share one profile, so lists are merged once for them.
+    """
+    skills, levels = F.array_sort(F.array_distinct("skills")), levels_for(F.col("years_experience"))
+    known = candidates.filter(F.size("skills") > 0).select("user_id", skills.alias("skills"), levels.alias("levels"))
+    done = applied.groupBy("user_id").agg(F.collect_set("id").alias("done"))
+    depth = F.lit(pool) + F.coalesce(F.size("done"), F.lit(0))
+    return known.join(done, "user_id", "left").select(
+        "user_id", "done", "skills", "levels", F.greatest(depth, F.lit(pool)).alias("depth"), F.sha2(F.to_json(F.struct("skills", "levels")), 256).alias("profile")
     )
-    place = F.when(is_remote, F.lit("Remote")).when(in_city, F.concat(F.lit("In "), "city"))
-    pay = F.when(meets, F.concat(F.lit("Pays up to ₹"), format_inr_short(F.col("salary_max"))))
-    return df.withColumn("score", score).withColumn("reasons", F.array_compact(F.array(by_skill, place, pay)))
 
 
-def _merged_lists(profiles: DataFrame, jobs: DataFrame, depth: int) -> DataFrame:
-    """(profile, roles): for each distinct profile its newest `depth` fitting roles, newest first,
-    as an array of struct(posted_at, id)."""
+def _merged_lists(known: DataFrame, jobs: DataFrame, facts: list[str]) -> DataFrame:
+    """(profile, roles): for each profile its newest fitting roles to the profile's depth, newest first."""
+    profiles = known.groupBy("profile").agg(F.any_value("skills").alias("skills"), F.any_value("levels").alias("levels"), F.max("depth").alias("depth"))
+    levels = F.when(F.size("levels") > 0, F.col("levels")).otherwise(F.array(F.lit(ANY_LEVEL)))
+    asks = profiles.select("profile", "depth", F.explode("skills").alias("skill"), levels.alias("_l")).select(
+        "profile", "depth", "skill", F.explode("_l").alias("level")
+    )
+    reach = asks.groupBy("skill", "level").agg(F.max("depth").alias("reach"))
+    deepest = known.agg(F.max("depth")).first()[0] or 0
     newest = Window.partitionBy("skill", "level").orderBy(F.desc("posted_at"), F.desc("id"))
     lists = (
-        jobs.select("id", "posted_at", F.explode(F.array_distinct("tags")).alias("skill"), "level")
-        .select("id", "posted_at", "skill", F.explode(F.array("level", F.lit(ANY_LEVEL))).alias("level"))
+        jobs.select(F.struct("posted_at", "id", *facts).alias("role"), "posted_at", "id", F.explode(F.array_distinct("tags")).alias("skill"), "level")
+        .select("role", "posted_at", "id", "skill", F.explode(F.array("level", F.lit(ANY_LEVEL))).alias("level"))
         .withColumn("_r", F.row_number().over(newest))
-        .filter(F.col("_r") <= depth)
+        .filter(F.col("_r") <= deepest)  # a constant, so that tasks cut their lists before the shuffle
+        .join(reach, ["skill", "level"])
+        .filter("_r <= reach")
         .groupBy("skill", "level")
-        .agg(F.collect_list(F.struct("posted_at", "id")).alias("list"))
-    )
-    levels = F.when(F.size("levels") > 0, F.col("levels")).otherwise(F.array(F.lit(ANY_LEVEL)))
-    asks = profiles.select("profile", F.explode("skills").alias("skill"), levels.alias("_l")).select(
-        "profile", "skill", F.explode("_l").alias("level")
+        .agg(F.collect_list("role").alias("list"))
     )
-    # A profile meets at most 40 skills x 4 levels of lists, each `depth` long.
-    merged = asks.join(lists, ["skill", "level"]).groupBy("profile").agg(F.flatten(F.collect_list("list")).alias("all"))
-    return merged.select("profile", F.slice(F.sort_array(F.array_distinct("all"), asc=False), 1, depth).alias("roles"))
+    merged = asks.join(lists, ["skill", "level"]).groupBy("profile").agg(F.flatten(F.collect_list("list")).alias("all"), F.max("depth").alias("depth"))
+    return merged.select("profile", F.slice(F.sort_array(F.array_distinct("all"), asc=False), F.lit(1), F.col("depth")).alias("roles"))
 
 
-def _with_profile(candidates: DataFrame) -> DataFrame:
-    """Candidates that ask for the same thing share one profile, so lists are merged once for them."""
-    skills, levels = F.array_sort(F.array_distinct("skills")), levels_for(F.col("years_experience"))
-    known = candidates.filter(F.size("skills") > 0).select("user_id", skills.alias("skills"), levels.alias("levels"))
-    return known.withColumn("profile", F.sha2(F.to_json(F.struct("skills", "levels")), 256))
+def _pools(candidates: DataFrame, jobs: DataFrame, applications: DataFrame, pool: int, facts: list[str]) -> DataFrame:
+    """(user_id, roles): each candidate's pool, newest first, as an array of struct(posted_at, id, *facts)."""
+    active = jobs.filter(is_active()).select(*dict.fromkeys(["id", "posted_at", "tags", "level", *facts]))
+    known = _with_profile(candidates, applications.select("user_id", F.col("job_id").alias("id")).distinct(), pool)
+    joined = known.select("user_id", "profile", "done").join(_merged_lists(known, active, facts), "profile")
+    # Ids are unique, so what is left of the ids tells which roles are left; a pool is found in its own list.
+    left = F.slice(F.array_except(F.transform("roles", lambda r: r["id"]), F.col("done")), 1, pool)
+    fresh = bind(left, lambda ids: F.filter("roles", lambda r: F.array_contains(ids, r["id"])))
+    return joined.select("user_id", F.when(F.col("done").isNull(), F.slice("roles", 1, pool)).otherwise(fresh).alias("roles"))
 
 
-def _profiles(known: DataFrame) -> DataFrame:
-    return known.groupBy("profile").agg(F.any_value("skills").alias("skills"), F.any_value("levels").alias("levels"))
+def match_pools(candidates: DataFrame, jobs: DataFrame, applications: DataFrame, pool: int = POOL) -> DataFrame:
+    """(user_id, id, posted_at) for every candidate with skills. Roles applied to do not eat into the pool."""
+    return _pools(candidates, jobs, applications, pool, []).select("user_id", F.inline("roles")).select("user_id", "id", "posted_at")
 
 
-def _usual_pools(known: DataFrame, jobs: DataFrame, applied: DataFrame) -> DataFrame:
-    """Pools of candidates with few applications: these fit in an array per candidate."""
-    merged = _merged_lists(_profiles(known), jobs, POOL + USUAL_APPLICATIONS)
-    done = applied.groupBy("user_id").agg(F.collect_list("id").alias("done"))
-    joined = known.select("user_id", "profile").join(merged, "profile").join(done, "user_id", "left")
-    fresh = F.when(F.col("done").isNull(), F.col("roles")).otherwise(
-        F.filter("roles", lambda r: ~F.array_contains("done", r["id"]))
-    )
-    return joined.select("user_id", F.inline(F.slice(fresh, 1, POOL))).select("user_id", "id", "posted_at")
+def recommend_jobs(candidates: DataFrame, jobs: DataFrame, applications: DataFrame, k: int = RESULTS, pool: int = POOL) -> DataFrame:
+    """(user_id, pos, id, score, matched_skills, reasons): the best `k` roles of each candidate's pool."""
+    person = candidates.select("user_id", F.struct(*PERSON).alias("person"))
+    pools = _pools(candidates, jobs, applications, pool, ROLE).join(person, "user_id")
 
+    def row(role: Column) -> Column:
+        def ranked(s: Column) -> Column:
+            return F.struct(s["score"].alias("score"), role["posted_at"].alias("posted_at"), role["id"].alias("id"), s["matched_skills"].alias("matched_skills"), s["reasons"].alias("reasons"))
 
-def _busy_pools(known: DataFrame, jobs: DataFrame, applied: DataFrame, most: int) -> DataFrame:
-    """Pools of candidates with many applications: lists as deep as needed, an anti-join for the rest."""
-    named = known.select(F.explode("skills").alias("_s")).distinct()
-    wanted = jobs.select("id", F.explode("tags").alias("_s")).join(named, "_s", "left_semi").select("id").distinct()
-    merged = _merged_lists(_profiles(known), jobs.join(wanted, "id", "left_semi"), POOL + most)
-    met = known.select("user_id", "profile").join(merged, "profile").select("user_id", F.inline("roles"))
-    fresh = met.join(applied, ["user_id", "id"], "left_anti")
-    per_user = Window.partitionBy("user_id").orderBy(F.desc("posted_at"), F.desc("id"))
-    ranked = fresh.withColumn("_r", F.row_number().over(per_user)).filter(F.col("_r") <= POOL)
-    return ranked.select("user_id", "id", "posted_at")
+        return bind(_scored(role, F.col("person")), ranked)
 
-
-def match_pools(candidates: DataFrame, jobs: DataFrame, applications: DataFrame) -> DataFrame:
-    """(user_id, id, posted_at) for every candidate with skills.
-
-    Roles applied to must not eat into the 150, so lists reach deeper by the
-    number of applications. The few candidates beyond the usual number get lists
-    as deep as they need, over the skills they name.
-    """
-    active = jobs.filter(is_active()).select("id", "posted_at", "tags", "level")
-    known = _with_profile(candidates)
-    applied = applications.select("user_id", F.col("job_id").alias("id")).distinct()
-    counts = applied.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > USUAL_APPLICATIONS)
-    most = counts.agg(F.max("_n")).first()[0]
-    if most is None:
-        return _usual_pools(known, active, applied)
-    usual = known.join(counts, "user_id", "left_anti")
-    few = applied.join(counts, "user_id", "left_anti")
-    busy = known.join(counts.select("user_id"), "user_id", "left_semi")
-    return _usual_pools(usual, active, few).unionByName(_busy_pools(busy, active, applied, most))
-
-
-def recommend_jobs(candidates: DataFrame, jobs: DataFrame, applications: DataFrame, k: int = RESULTS) -> DataFrame:
-    """(user_id, pos, id, score, matched_skills, reasons): the best `k` roles of each candidate."""
-    pools = match_pools(candidates, jobs, applications)
-    facts = jobs.select("id", "tags", "level", "location", "remote", "salary_max", "currency")
-    people = candidates.select("user_id", "skills", "years_experience", "city", "expected_salary")
-    scored = score_job(pools.join(facts, "id").join(people, "user_id"))
-    best = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("posted_at"), F.desc("id"))
-    return (
-        scored.select("user_id", "id", "posted_at", "score", "matched_skills", "reasons")
-        .withColumn("pos", F.row_number().over(best))
-        .filter(F.col("pos") <= k)
-        .drop("posted_at")
+    best = F.slice(F.sort_array(F.transform("roles", row), asc=False), 1, k)
+    return pools.select("user_id", F.posexplode(best).alias("_p", "r")).select(
+        "user_id", "r.id", "r.score", "r.matched_skills", "r.reasons", (F.col("_p") + 1).alias("pos")
     )
 
 
