@@ -50,8 +50,7 @@ def csv_import(t):
 @query(
     "S17_sitemap_export",
     f"""SELECT 'company' AS section, concat('{_BASE}/companies/', slug) AS url, CAST(NULL AS TIMESTAMP) AS updated_at FROM v_company
- UNION ALL SELECT 'job', concat('{_BASE}/jobs/', id), last_verified_at FROM (SELECT * FROM v_job WHERE status = 'ACTIVE'
-  ORDER BY posted_at DESC, id DESC LIMIT 45000) x
+ UNION ALL SELECT 'job', concat('{_BASE}/jobs/', id), last_verified_at FROM v_job WHERE status = 'ACTIVE'
  UNION ALL SELECT 'page', concat('{_BASE}', p), NULL FROM (SELECT * FROM (VALUES ('/'), ('/jobs'), ('/companies'), ('/salaries'), ('/about'),
   ('/editorial-standards'), ('/privacy'), ('/terms'), ('/contact'), ('/employers/pricing'), ('/employers/verification')) v(p)) y""",
 )
@@ -187,7 +186,7 @@ _TAGS = "(p|div|ul|ol|section|table|tr|blockquote)"
  d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(s, '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS s FROM c),
  e AS (SELECT page_id, regexp_replace(regexp_replace(replace(s, chr(160), ' '), '[ \t]+', ' ', 'g'), '(?m)^ +| +$', '', 'g') AS s FROM d),
  f AS (SELECT page_id, regexp_replace(regexp_replace(s, '\n\n\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS s FROM e)
- SELECT page_id, CASE WHEN length(s) > 20000 THEN regexp_replace(substr(s, 1, 20000), '\s+$', '') || '…' ELSE s END AS text FROM f""",
+ SELECT page_id, s AS text FROM f""",
 )
 def page_text(t):
     return t.pages.select("page_id", html_to_text(F.col("html")).alias("text"))

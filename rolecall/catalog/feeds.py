@@ -10,20 +10,33 @@ from pyspark.sql import functions as F
 
 from rolecall.catalog import query
 from rolecall.plans.views import AS_OF
+from rolecall.session import scratch_path
 from rolecall.sources import feeds
 
 
 def _landed(rows, payload, schema, token="token", detail_key=None):
-    """Envelope rows from payload columns rendered to JSON text and parsed with the reader's schema."""
-    text = F.to_json(payload)
-    kind = f"struct<{feeds._as_struct(schema)}>"
-    return rows.select(
+    """Responses rendered as JSON lines in the shared folder, read back as landed files.
+
+    A list of jobs holds those of up to three postings; one line is no JSON at all.
+    """
+    spark = rows.sparkSession
+    envelope = rows.select(
         F.col("company_id").cast("string").alias("company_id"),
         (F.lit(token) if isinstance(token, str) else token).alias("token"),
-        F.lit(AS_OF).cast("timestamp").alias("fetched_at"),
+        F.lit(AS_OF).alias("fetched_at"),
         (detail_key if detail_key is not None else F.lit(None).cast("string")).alias("detail_key"),
-        F.from_json(text, kind).alias("payload"),
+        payload.alias("payload"),
+        F.floor(F.col("k") / 3).alias("_line"),
     )
+    first = envelope.schema["payload"].dataType.fields[0]
+    if first.name in ("jobs", "jobPostings", "content"):
+        keys = ["company_id", "token", "fetched_at", "detail_key"]
+        jobs = envelope.groupBy(*keys, "_line").agg(F.flatten(F.collect_list(f"payload.{first.name}")).alias(first.name))
+        envelope = jobs.select(*keys, F.struct(first.name).alias("payload"))
+    lines = envelope.select(F.to_json(F.struct("company_id", "token", "fetched_at", "detail_key", "payload")).alias("value"))
+    path = scratch_path(spark, "landed")
+    lines.union(spark.createDataFrame([('{"company_id": "1", "payload',)], "value string")).write.text(path)
+    return feeds.read_landed(spark, path, schema)
 
 
 def _one(list_name, /, **fields):

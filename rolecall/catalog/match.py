@@ -58,6 +58,20 @@ def completions(t):
     return suggest.suggest_keywords(vocab, t.sql(_TERMS)).drop("mark")
 
 
+@query(
+    "F15_highlight_range",
+    """WITH w AS (SELECT id, lower(title) AS label, split_part(lower(title), ' ', 2) AS word FROM v_job)
+ SELECT id, CASE WHEN starts_with(label, word) THEN 0 ELSE length(split_part(label, ' ', 1)) + 1 END AS mark_start,
+  CASE WHEN starts_with(label, word) THEN 0 ELSE length(split_part(label, ' ', 1)) + 1 END + length(word) AS mark_end FROM w""",
+)
+def highlights(t):
+    """The second word of a title typed in capitals, every other time with a word that is not there."""
+    odd = F.when(F.substring("id", 14, 1).cast("int") % 2 == 1, " zzz").otherwise("")
+    typed = F.concat(F.lit("  "), F.upper(F.split("title", " ")[1]), odd, F.lit(" "))
+    marked = t.v_job.select("id", suggest.highlight_range(F.col("title"), typed).alias("m"))
+    return marked.select("id", F.col("m.start").alias("mark_start"), F.col("m.end").alias("mark_end"))
+
+
 # Places as a board in India has them, by the job's place number.
 _CITY_JOBS = """SELECT id, status, remote, CASE CAST(substr(location, 8) AS BIGINT) % 7 WHEN 0 THEN 'Bengaluru' WHEN 1 THEN 'Gurugram'
  WHEN 2 THEN 'Noida' WHEN 3 THEN 'Delhi' WHEN 4 THEN 'Mumbai · Pune' WHEN 5 THEN 'Pune' ELSE 'India' END AS location FROM v_job"""

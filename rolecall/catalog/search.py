@@ -215,12 +215,12 @@ def facets(t):
 # ------------------------------------------------------------------ orders
 
 
-def _top(sort):
-    return lambda t: O.page(t.v_job, sort, size=499).select("id")
+def _ordered(sort):
+    return lambda t: t.v_job.orderBy(*O.order_by(sort)).select("id")
 
 
 for _id, _sort in (("O1_order_recommended", "recommended"), ("O2_order_newest", "newest"), ("O3_order_salary", "salary")):
-    query(_id, f"SELECT id FROM v_job ORDER BY {_ORDER[_sort]} LIMIT 500")(_top(_sort))
+    query(_id, f"SELECT id FROM v_job ORDER BY {_ORDER[_sort]}")(_ordered(_sort))
 
 
 @query(

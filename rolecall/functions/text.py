@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from rolecall.functions.vocabulary import CITY_WORDS, ENTITIES
 
-MAX_TEXT = 20_000
 _NOT_ASCII = r"[^\x00-\x7F]"
 # Blank characters outside ASCII that count as white space in feed text.
 _WIDE_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -124,8 +123,8 @@ def decode_entities(column: Column) -> Column:
     return bind(column, lambda text: F.when(F.contains(text, F.lit("&")), _decode(text)).otherwise(text))
 
 
-def html_to_text(column: Column, limit: int = MAX_TEXT) -> Column:
-    """Feed HTML as plain text: blank-line paragraphs, `## ` headings, `- ` bullets."""
+def html_to_text(column: Column) -> Column:
+    """Feed HTML as plain text, whole: blank-line paragraphs, `## ` headings, `- ` bullets."""
     text = F.regexp_replace(column, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
     text = F.regexp_replace(
@@ -140,13 +139,7 @@ def html_to_text(column: Column, limit: int = MAX_TEXT) -> Column:
     text = F.regexp_replace(text, r"(?m)^-\n", "")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     text = F.regexp_replace(text, r"(\n- [^\n]+)\n\n(?=- )", "$1\n")
-    text = F.regexp_replace(text, r"^\s+|\s+$", "")
-
-    def cut(t: Column) -> Column:
-        short = F.concat(F.regexp_replace(F.substring(t, 1, limit), r"\s+$", ""), F.lit("…"))
-        return F.when(F.length(t) > limit, short).otherwise(t)
-
-    return bind(text, cut)
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 _CITY_ARRAY_PATTERN = r"\b(" + "|".join(CITY_WORDS) + r")\b"

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from rolecall.enums import CURRENCY_ORDER, DISCIPLINE_ORDER, EMPLOYMENT_TYPE, INDUSTRY, LEVEL_ORDER, REMOTE
 from rolecall.functions.vocabulary import CITY_NAMES
 
-MAX_WORDS = 6
 LISTING_DAYS = 30
 
 # Years-of-experience buckets [lo, hi), and the years a level stands for
@@ -45,9 +44,9 @@ def filter_active(jobs: DataFrame) -> DataFrame:
 
 
 def has_words(q: str) -> Column:
-    """Every one of the first six words occurs in search_text, as plain text."""
+    """Every word occurs in search_text, as plain text."""
     condition = F.lit(True)
-    for word in q.lower().split()[:MAX_WORDS]:
+    for word in q.lower().split():
         condition = condition & F.col("search_text").contains(word)
     return condition
 
@@ -161,7 +160,7 @@ def apply_search(jobs: DataFrame, companies: DataFrame | None, params: SearchPar
 
 # ------------------------------------------------------------------ parameter rows
 
-_TEXT_LIMITS = {"q": 100, "location": 80, "tag": 40}
+_TEXTS = ["q", "location", "tag"]
 _DOMAINS = {
     "remote": REMOTE,
     "discipline": DISCIPLINE_ORDER,
@@ -186,9 +185,9 @@ def parse_search_params(raw: DataFrame) -> DataFrame:
     columns = []
     for name in raw.columns:
         value = F.try_element_at(F.col(name), F.lit(1)) if raw.schema[name].dataType.typeName() == "array" else F.col(name)
-        if name in _TEXT_LIMITS:
+        if name in _TEXTS:
             text = F.trim(value)
-            value = F.when((F.length(text) > 0) & (F.length(text) <= _TEXT_LIMITS[name]), text)
+            value = F.when(F.length(text) > 0, text)
         elif name == "min_salary":
             number = value.try_cast("double")
             whole = number.cast("long")
@@ -226,7 +225,8 @@ def is_public() -> Column:
 ID_PATTERN = re.compile(r"^[a-z0-9]{10,40}$", re.I)
 
 
-def jobs_by_ids(jobs: DataFrame, ids: list[str], limit: int = 100) -> DataFrame:
-    """Any status; malformed ids are ignored. The list is a request's, so it is short."""
-    wanted = [i for i in dict.fromkeys(ids) if ID_PATTERN.match(i)][:limit]
-    return jobs.filter(F.col("id").isin(wanted)) if wanted else jobs.filter(F.lit(False))
+def jobs_by_ids(jobs: DataFrame, ids: DataFrame | list[str]) -> DataFrame:
+    """Any status; malformed ids are ignored. `ids`: a table with a column id, or a request's list."""
+    if isinstance(ids, list):
+        ids = jobs.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+    return jobs.join(ids.filter(F.col("id").rlike(f"(?i){ID_PATTERN.pattern}")).select("id").distinct(), "id", "left_semi")

@@ -54,8 +54,9 @@ def candidate_applications(applications: DataFrame, k: int = 100) -> DataFrame:
 
 
 def saved_ids(saved: DataFrame) -> DataFrame:
-    """Newest first per user. A range sort, so no user's list sits in one task's memory."""
-    return saved.orderBy("user_id", F.desc("created_at"), F.desc("job_id")).select("user_id", "job_id", "created_at")
+    """Newest first per user: rows of a user share a partition and are sorted inside it, without a global order."""
+    dealt = saved.select("user_id", "job_id", "created_at").repartition("user_id")
+    return dealt.sortWithinPartitions("user_id", F.desc("created_at"), F.desc("job_id"))
 
 
 def review_queues(claims: DataFrame, jobs: DataFrame, reviews: DataFrame, k: int = 50) -> DataFrame:

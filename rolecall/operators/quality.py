@@ -97,7 +97,7 @@ def clean_job_input(df: DataFrame) -> DataFrame:
         "currency": F.coalesce(_blank_to_null(_input(df, "currency")), F.lit("INR")),
         "featured": F.coalesce(_input(df, "featured").cast("string").isin("on", "true"), F.lit(False)),
         "raw_tags": F.coalesce(_input(df, "tags"), F.lit("")),
-        "tags": F.slice(F.array_distinct(tags), 1, 8),
+        "tags": F.array_distinct(tags),
         **{n: _whole_number(_blank_to_null(_input(df, n))) for n in _NUMBERS},
     }
     kept = [c for c in df.columns if c not in cleaned]

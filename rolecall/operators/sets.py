@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from rolecall.operators.windows import latest
 
-MAX_SKILLS = 40
-MAX_SAVED = 100
 
-
-def distinct_ignoring_case(values: Column, limit: int = MAX_SKILLS) -> Column:
+def distinct_ignoring_case(values: Column) -> Column:
     """First spelling of each value, in order; blanks dropped."""
     kept = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: F.length(v) > 0)
     folded = F.transform(kept, F.lower)
-    firsts = F.filter(kept, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1)
-    return F.slice(firsts, 1, limit)
+    return F.filter(kept, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1)
 
 
 def union_skills(first: Column, second: Column) -> Column:
@@ -24,21 +20,13 @@ def union_skills(first: Column, second: Column) -> Column:
     return distinct_ignoring_case(F.concat(F.coalesce(first, empty), F.coalesce(second, empty)))
 
 
-def in_ignoring_case(values: Column, others: Column) -> Column:
-    folded = F.transform(others, F.lower)
-    return F.filter(values, lambda v: F.array_contains(folded, F.lower(v)))
-
-
-def not_in_ignoring_case(values: Column, others: Column) -> Column:
-    folded = F.transform(others, F.lower)
-    return F.filter(values, lambda v: ~F.array_contains(folded, F.lower(v)))
-
-
-def newest_saved(saved: DataFrame, limit: int = MAX_SAVED) -> DataFrame:
-    """Per user, the newest saved ids as an array of at most `limit`."""
-    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("job_id"))
-    kept = saved.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit)
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("r", "job_id"))), lambda s: s["job_id"])
+def newest_saved(saved: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per user, the saved ids as an array, newest first: all, or the first `limit`."""
+    kept = saved
+    if limit is not None:
+        order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("job_id"))
+        kept = saved.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("created_at", "job_id")), asc=False), lambda s: s["job_id"])
     return kept.groupBy("user_id").agg(ordered.alias("server_ids"))
 
 
@@ -53,16 +41,16 @@ def reconcile_saves(browsers: DataFrame, saved: DataFrame) -> DataFrame:
     server = F.coalesce("server_ids", empty)
     joined = browsers.join(newest_saved(saved), "user_id", "left")
     signed_in, anonymous = F.col("user_id").isNotNull(), F.col("owner").isNull()
-    merged = F.slice(F.concat("ids", F.filter(server, lambda i: ~F.array_contains("ids", i))), 1, MAX_SAVED)
+    merged = F.concat("ids", F.filter(server, lambda i: ~F.array_contains("ids", i)))
     return joined.select(
         "browser_id",
         F.when(signed_in & anonymous, merged)
-        .when(signed_in, F.slice(server, 1, MAX_SAVED))
+        .when(signed_in, server)
         .when(anonymous, F.col("ids"))
         .otherwise(empty)
         .alias("ids"),
         F.col("user_id").alias("owner"),
-        F.when(signed_in & anonymous, F.slice("ids", 1, MAX_SAVED)).otherwise(empty).alias("to_upload"),
+        F.when(signed_in & anonymous, F.col("ids")).otherwise(empty).alias("to_upload"),
     )
 
 

@@ -174,17 +174,16 @@ def company_slugs(companies: DataFrame, new: DataFrame) -> DataFrame:
     """Slugs for new companies (`name`, `created_at`): the name, then numbered by how many
     stored or earlier new slugs begin the same way.
 
-    Stored slugs are counted under each beginning a new one could have (its words
-    cut at each dash, and the whole), so the prefix test is an equi-join.
+    Stored slugs are counted under each of their beginnings that is a new name's
+    base, so the prefix test is an equi-join.
     """
     base = F.when(slugify(F.col("name")) != "", slugify(F.col("name"))).otherwise("company")
     wanted = new.withColumn("base", base)
-    lengths = wanted.select("base", F.length("base").alias("n")).distinct()
-    sizes = [r["n"] for r in lengths.select("n").distinct().collect()]
-    beginnings = F.array(*[F.when(F.length("slug") >= n, F.substring("slug", 1, n)) for n in sizes])
+    beginnings = F.transform(F.sequence(F.lit(1), F.length("slug")), lambda n: F.substring(F.col("slug"), F.lit(1), n))
     taken = (
-        companies.select(F.explode(F.array_compact(beginnings)).alias("base"))
-        .join(lengths.select("base"), "base", "left_semi")
+        companies.filter(F.length("slug") > 0)
+        .select(F.explode(beginnings).alias("base"))
+        .join(wanted.select("base").distinct(), "base", "left_semi")
         .groupBy("base")
         .agg(F.count(F.lit(1)).alias("_taken"))
     )

@@ -16,7 +16,6 @@ from rolecall.functions.resume_words import ACTION_VERBS, MONTHS, NUMBER, TITLE_
 from rolecall.functions.text import bind, constant, squeeze
 from rolecall.operators.sets import distinct_ignoring_case, union_skills
 
-MAX_KEYWORDS = 15
 LONG_BULLET, SHORT_BULLET = 220, 25
 # Stands in for the printed page count, which needs font metrics: characters on a full page.
 PAGE_CHARACTERS = 3000
@@ -215,8 +214,8 @@ def review_resumes(resumes: DataFrame) -> DataFrame:
         F.size(_named("education", "degree", "institution")).alias("_studies"),
         F.size(unrenderable(F.col("_text"))).alias("_lost"),
         F.greatest(F.ceil(F.length("_text") / PAGE_CHARACTERS), F.lit(1)).cast("int").alias("pages"),
-        extract_tags(F.trim("headline"), F.concat_ws("\n", joined, F.array_join("_bullets", " ")), 40).alias("recognised_skills"),
-        F.size(extract_tags(F.lit(""), joined, 40)).alias("_known"),
+        extract_tags(F.trim("headline"), F.concat_ws("\n", joined, F.array_join("_bullets", " "))).alias("recognised_skills"),
+        F.size(extract_tags(F.lit(""), joined)).alias("_known"),
     )
     c = F.col
     skills = F.size("_skills")
@@ -411,16 +410,16 @@ def resume_side(resumes: DataFrame) -> DataFrame:
         "user_id",
         F.lower("_all").alias("all_text"),
         F.lower("_line").alias("skills_text"),
-        F.transform(extract_tags(F.col("headline"), F.col("_all"), 200), lower).alias("found"),
-        F.transform(extract_tags(F.lit(""), F.col("_line"), 200), lower).alias("in_skills"),
+        F.transform(extract_tags(F.col("headline"), F.col("_all")), lower).alias("found"),
+        F.transform(extract_tags(F.lit(""), F.col("_line")), lower).alias("in_skills"),
         _title_words(F.col("headline")).alias("headline_words"),
     )
 
 
 def job_side(jobs: DataFrame) -> DataFrame:
-    """A job's keywords: its tags, then what its text names, at most 15."""
-    tags = F.concat("tags", extract_tags(F.col("title"), F.col("description"), MAX_KEYWORDS))
-    return jobs.select("id", distinct_ignoring_case(tags, MAX_KEYWORDS).alias("keywords"), _title_words(F.col("title")).alias("title_words"))
+    """A job's keywords: its tags, then what its text names."""
+    tags = F.concat("tags", extract_tags(F.col("title"), F.col("description")))
+    return jobs.select("id", distinct_ignoring_case(tags).alias("keywords"), _title_words(F.col("title")).alias("title_words"))
 
 
 def keyword_gap(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -192,9 +192,6 @@ class Tables:
     @property
     def raw_posting(self) -> DataFrame:
         """v_posting in the shape a feed reader returns; Lever postings carry structured pay.
-
-        A landed feed lies in many files, so the rendered one is spread over all cores too:
-        reading text is bound by CPU, not by the bytes adaptive execution sizes partitions by.
         """
         pay = F.struct(
             (F.col("lo") * 100_000).cast("double").alias("min"),
@@ -207,7 +204,7 @@ class Tables:
             "description", "apply_url", "requisition_id", F.lit(None).cast("string").alias("classification"),
             "workplace", F.array("place").alias("locations"), "posted_at",
             F.when(F.col("source") == "LEVER", pay).alias("pay"),
-        ).repartition(self.spark.sparkContext.defaultParallelism, "external_id")
+        )
 
     @property
     def candidate(self) -> DataFrame:

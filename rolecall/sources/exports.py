@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolecall.functions.text import search_text, slugify
@@ -12,9 +12,7 @@ from rolecall.operators.filters import expires_at, is_active
 from rolecall.operators.quality import clean_job_input, job_errors
 from rolecall.operators.sets import distinct_ignoring_case
 
-SITEMAP_JOBS = 45_000
-MAX_IMPORT_ROWS = 500
-MAX_IMPORT_BYTES = 2_000_000
+SITEMAP_FILE = 45_000
 # Pages that always exist.
 STATIC_PATHS = [
     "/", "/jobs", "/companies", "/salaries", "/about", "/editorial-standards", "/privacy", "/terms", "/contact",
@@ -23,15 +21,21 @@ STATIC_PATHS = [
 
 
 def sitemap(jobs: DataFrame, companies: DataFrame, base: str) -> DataFrame:
-    """(section, url, last_modified): fixed pages, every company, the newest active jobs."""
+    """(section, url, last_modified): fixed pages, every company, every active job."""
     spark = jobs.sparkSession
     pages = spark.createDataFrame([("page", base + p) for p in STATIC_PATHS], "section string, url string")
     firms = companies.select(F.lit("company").alias("section"), F.concat(F.lit(f"{base}/companies/"), "slug").alias("url"), "updated_at")
-    newest = jobs.filter(is_active()).orderBy(F.desc("posted_at"), F.desc("id")).limit(SITEMAP_JOBS)
-    roles = newest.select(F.lit("job").alias("section"), F.concat(F.lit(f"{base}/jobs/"), "slug").alias("url"), F.col("last_verified_at").alias("updated_at"))
+    roles = jobs.filter(is_active()).select(F.lit("job").alias("section"), F.concat(F.lit(f"{base}/jobs/"), "slug").alias("url"), F.col("last_verified_at").alias("updated_at"))
     return pages.withColumn("updated_at", F.lit(None).cast("timestamp")).unionByName(firms).unionByName(roles)
 
 
+def sitemap_files(rows: DataFrame, per_file: int = SITEMAP_FILE) -> DataFrame:
+    """The rows of a sitemap with `file`, a number from 0: files of about `per_file` rows, no URL left out."""
+    files = rows.agg(F.greatest(F.ceil(F.count(F.lit(1)) / per_file), F.lit(1)).alias("_files"))
+    dealt = rows.crossJoin(F.broadcast(files))  # one row
+    return dealt.withColumn("file", F.pmod(F.xxhash64("url"), F.col("_files")).cast("int")).drop("_files")
+
+
 def _iso(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
@@ -104,17 +108,14 @@ class ImportResult(NamedTuple):
 def read_import(spark: SparkSession, path: str) -> DataFrame:
     """Records of one sheet: quoted multi-line fields, header lower-cased, blank rows dropped.
 
-    `row_number` counts the header as row 1. A sheet is small (2 MB at most).
+    `row_number` counts the header as row 1. A sheet is one file, which one task reads in order.
     """
     sheet = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     for name in sheet.columns:
         sheet = sheet.withColumnRenamed(name, name.strip("\ufeff \t").lower())
     cells = [F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in sheet.columns]
-    records = sheet.select(*cells).withColumn("_at", F.monotonically_increasing_id())
-    filled = records.filter(F.concat(*sheet.columns) != "")
-    # One row over the limit is enough to refuse the sheet, so numbering never sees more.
-    order = Window.orderBy("_at")
-    return filled.orderBy("_at").limit(MAX_IMPORT_ROWS + 1).withColumn("row_number", F.row_number().over(order) + 1).drop("_at")
+    filled = sheet.select(*cells).filter(F.concat(*sheet.columns) != "")
+    return filled.withColumn("row_number", (F.monotonically_increasing_id() + 2).cast("int"))
 
 
 def check_import(records: DataFrame, companies: DataFrame) -> DataFrame:
@@ -130,17 +131,12 @@ def check_import(records: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def import_jobs(records: DataFrame, companies: DataFrame) -> ImportResult:
-    """All or nothing: one bad record, or a record too many, leaves `rows` empty.
+    """All or nothing: one bad record leaves `rows` empty.
 
     The rejected count is joined back as a condition, so nothing is collected.
     """
     checked = check_import(records, companies)
-    too_many = checked.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_IMPORT_ROWS)
-    errors = checked.filter(F.size("errors") > 0).select("row_number", "errors").unionByName(
-        too_many.select(
-            F.lit(None).cast("int").alias("row_number"), F.array(F.lit(f"Import at most {MAX_IMPORT_ROWS} rows at a time.")).alias("errors")
-        )
-    )
+    errors = checked.filter(F.size("errors") > 0).select("row_number", "errors")
     rejected = errors.agg(F.count(F.lit(1)).alias("_bad")).filter("_bad = 0").select(F.lit(0).alias("_k"))
     paid = F.col("salary_min").isNotNull() & F.col("salary_max").isNotNull()
     suffix = F.substring(F.sha1(F.concat_ws("|", "company_id", "title", F.col("row_number").cast("string"))), 1, 6)

@@ -66,8 +66,10 @@ def cascade_delete(tables: dict[str, DataFrame], users: DataFrame) -> dict[str,
         elif name == "job":
             marked = gone.select(F.col("user_id").alias("posted_by_id"), F.lit(True).alias("_gone"))
             kept = F.when(F.col("_gone").isNull(), F.col("posted_by_id")).alias("posted_by_id")
-            joined = df.join(marked, "posted_by_id", "left")
-            result[name] = joined.select(*[kept if c == "posted_by_id" else F.col(c) for c in df.columns])
+            # Most jobs have no poster: they skip the join, where null would be one hot key.
+            joined = df.filter(F.col("posted_by_id").isNotNull()).join(marked, "posted_by_id", "left")
+            changed = joined.select(*[kept if c == "posted_by_id" else F.col(c) for c in df.columns])
+            result[name] = df.filter(F.col("posted_by_id").isNull()).unionByName(changed)
         elif "user_id" in df.columns and name != "apply_click":
             result[name] = df.join(gone, "user_id", "left_anti")
         else:

@@ -65,9 +65,8 @@ def word_sets(rng):
     return sets
 
 
-@pytest.mark.parametrize("small_group, seed", [(64, 1), (2, 1), (2, 2), (5, 3)])
-def test_similar_links_match_brute_force(spark, monkeypatch, small_group, seed):
-    monkeypatch.setattr(similarity, "SMALL_GROUP", small_group)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_similar_links_match_brute_force(spark, seed):
     sets = word_sets(random.Random(seed))
     rows = [(i, block, sorted(words)) for i, (block, words) in enumerate(sets)]
     df = spark.createDataFrame(rows, "id long, block string, words array<string>")
@@ -164,7 +163,7 @@ def test_dedupe_is_transitive_and_order_free(spark):
         listing(6, "Engineer", text="See the full description on the company's careers page."),
         listing(7, "Engineer", text="See the full description on the company's careers page."),
     ]
-    want = {("x001", "Pune · Mumbai · Delhi", 4), ("x004", "Kochi", 1), ("x006", "Pune", 1), ("x007", "Pune", 1)}
+    want = {("x001", "Pune · Mumbai · Delhi · Noida", 4), ("x004", "Kochi", 1), ("x006", "Pune", 1), ("x007", "Pune", 1)}
     for seed in (1, 2):
         shuffled = rows[:]
         random.Random(seed).shuffle(shuffled)
@@ -173,7 +172,7 @@ def test_dedupe_is_transitive_and_order_free(spark):
         assert {(r["external_id"], r["location"], r["group_size"]) for r in merged} == want
     listed = spark.createDataFrame([(1, "LEVER", "x005", True), (1, "LEVER", "x002", False)], "company_id long, source string, external_id string, active boolean")
     kept = dedupe.dedupe_postings(spark.createDataFrame(rows, LISTING), listed).filter("group_size = 4").first()
-    assert (kept["external_id"], kept["location"]) == ("x005", "Delhi · Noida · Mumbai")
+    assert (kept["external_id"], kept["location"]) == ("x005", "Delhi · Noida · Mumbai · Pune")
 
 
 def test_sync_twice_only_confirms(spark):
@@ -191,7 +190,7 @@ def test_sync_twice_only_confirms(spark):
     feeds = spark.createDataFrame([(1, "LEVER", True, None, 2)], "company_id long, source string, ok boolean, error string, fetched long")
     planned = sync.plan_sync(stored, incoming, feeds)
     assert {r["external_id"]: r["action"] for r in planned.filter("action is not null").collect()} == {"a": "update", "b": "expire", "c": "create"}
-    table = sync.apply_sync(planned, as_of, stored.columns)
+    table = sync.apply_sync(planned, stored, incoming, as_of)
     assert {(r["external_id"], r["status"], r["title"]) for r in table.collect()} == {
         ("a", "ACTIVE", "A2"), ("b", "EXPIRED", "B"), ("c", "ACTIVE", "C"), (None, "ACTIVE", "M"),
     }
@@ -199,16 +198,15 @@ def test_sync_twice_only_confirms(spark):
     assert {r["external_id"]: r["action"] for r in again} == {"a": "confirm", "c": "confirm"}
 
 
-def test_detail_limit(spark, monkeypatch):
-    monkeypatch.setattr(sync, "DETAIL_LIMIT", 2)
+def test_all_landed_details_are_created(spark):
     stored = spark.createDataFrame([], "company_id long, source string, external_id string, status string, content_hash string")
-    rows = [(1, "ORACLE", f"e{i}", "h", False, True, i != 0) for i in range(5)]
+    rows = [(1, "ORACLE", f"e{i:03d}", "h", False, True, i != 0) for i in range(300)]
     incoming = spark.createDataFrame(
         rows, "company_id long, source string, external_id string, content_hash string, salary_disclosed boolean, list_only boolean, detail_ready boolean"
     )
-    feeds = spark.createDataFrame([(1, "ORACLE", True, None, 5)], "company_id long, source string, ok boolean, error string, fetched long")
+    feeds = spark.createDataFrame([(1, "ORACLE", True, None, 300)], "company_id long, source string, ok boolean, error string, fetched long")
     got = {r["external_id"]: r["action"] for r in sync.plan_sync(stored, incoming, feeds).collect()}
-    assert got == {"e0": "pending", "e1": "create", "e2": "pending", "e3": "pending", "e4": "pending"}
+    assert got == {f"e{i:03d}": "create" if i else "pending" for i in range(300)}
 
 
 def test_backfill_is_idempotent(spark):
@@ -224,12 +222,10 @@ def test_backfill_is_idempotent(spark):
 
 # ------------------------------------------------------------------ matching
 
-def test_pools_of_busy_candidates(spark, monkeypatch):
+def test_pools_of_busy_candidates(spark):
     """Applications must not eat into a pool, for usual and for very busy candidates."""
     import datetime
 
-    monkeypatch.setattr(recommend, "POOL", 5)
-    monkeypatch.setattr(recommend, "USUAL_APPLICATIONS", 3)
     rng = random.Random(9)
     skills, levels = ["a", "b", "c"], ["JUNIOR", "MID", "SENIOR"]
     jobs = [
@@ -244,6 +240,7 @@ def test_pools_of_busy_candidates(spark, monkeypatch):
         spark.createDataFrame(people, "user_id long, skills array<string>, years_experience int"),
         spark.createDataFrame(jobs, "id string, posted_at timestamp, tags array<string>, level string, status string"),
         spark.createDataFrame(sorted(applied), "user_id long, job_id string"),
+        pool=5,
     )
     for r in pools.collect():
         got.setdefault(r["user_id"], set()).add(r["id"])

@@ -108,10 +108,15 @@ def test_claims_of_new_company_names(spark):
     assert {r["slug"] for r in activity.company_slugs(stored, new).collect()} == {"acme-ltd-2", "acme-ltd-3", "company"}
 
 
-def test_import_refuses_large_sheets(spark):
+def test_large_sheets_are_imported_whole(spark):
     companies = spark.createDataFrame([(1, "acme", "Acme")], "id long, slug string, name string")
     cells = "'acme' company_slug, 'Data Engineer' title, 'A long enough description' description, 'data' discipline, 'mid' level, "
     cells += "'' tags, 'Pune' location, 'onsite' remote, 'https://x.in/1' apply_url, cast(id as int) row_number"
-    for n, kept in ((500, 500), (501, 0)):
-        result = exports.import_jobs(spark.range(n).selectExpr(*cells.split(", ")), companies)
-        assert (result.rows.count(), result.errors.count()) == (kept, 0 if kept else 1)
+    result = exports.import_jobs(spark.range(1200).selectExpr(*cells.split(", ")), companies)
+    assert (result.rows.count(), result.errors.count()) == (1200, 0)
+
+
+def test_sitemap_files_hold_every_url(spark):
+    rows = spark.range(1000).selectExpr("'job' section", "concat('u', id) url")
+    files = exports.sitemap_files(rows, per_file=300)
+    assert files.count() == 1000 and files.select("file").distinct().count() == 4
