@@ -30,7 +30,7 @@ def _pairs(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _pairs(edges, ("u", "v"), ("v", "u"))
     moved = _star(both, both.filter(F.col("v") > F.col("u")))
-    return _pairs(moved, ("v", "m")).distinct()
+    return _pairs(moved, ("v", "m"))  # the next step drops what repeats
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
