@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rolecall.session import ensure_checkpoint_dir, scratch_path
@@ -52,6 +52,17 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Rows of a few numbers each that may be broadcast; more are joined by a shuffle.
+FEW_ROWS = 300_000
+
+
+def staged_few(df: DataFrame, name: str) -> DataFrame:
+    """`staged`, marked for broadcast where the write counted at most FEW_ROWS rows."""
+    seen = Observation()
+    table = staged(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return F.broadcast(table) if (seen.get.get("rows") or 0) <= FEW_ROWS else table
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

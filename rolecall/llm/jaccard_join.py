@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import blocks, keep_ids, shuffle_partitions, small_batches, staged, text_bytes, text_values
+from rolecall.llm.common import blocks, keep_ids, shuffle_partitions, small_batches, staged, staged_few, text_bytes, text_values
 from rolecall.llm.hashing import mix
 from rolecall.llm.shingles import shingle_sets
 from rolecall.operators.components import connected_components
@@ -340,7 +340,7 @@ def _met(num: int, den: int):
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; those whose sketches rule it out go first."""
     for end, sketch in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(classes.filter("doc = rep").select(F.col("doc").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(sketch)), end)
+        pairs = classes.filter("doc = rep").select(F.col("doc").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(sketch)).join(pairs, end)
     pairs = staged(pairs.mapInArrow(_possible(num, den), "a long, b long").distinct(), "possible")
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = staged(keep_ids(docs, nodes, "doc_id").mapInArrow(_set_rows, "node long, members binary"), "sets")
@@ -400,9 +400,9 @@ def jaccard_components(documents: DataFrame, threshold: tuple[int, int] = (80, 1
     dear = staged(dear.select("sig", "rep", "n").distinct(), "dear")
     pivot = dear.groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("p")).select("sig", F.col("p.rep").alias("a"), F.col("p.n").alias("n_a"))
     star = dear.join(pivot, "sig").select("a", "n_a", F.col("rep").alias("b"), F.col("n").alias("n_b")).filter(fits).select(*ordered)
-    pairs = staged(cheap.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(star).distinct(), "pairs")
+    pairs = staged_few(cheap.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(star).distinct(), "pairs")
     links = _verify(docs, classes, pairs, num, den).union(same_id)
-    roots = staged(connected_components(links), "roots")
+    roots = staged_few(connected_components(links), "roots")
 
     def component(end: str) -> DataFrame:
         return roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
@@ -421,13 +421,13 @@ def jaccard_components(documents: DataFrame, threshold: tuple[int, int] = (80, 1
     asked = mixed.select("sig", every.alias("i"), F.col("cell").alias("j"), F.lit(1).alias("side"), *facts)
     met = asking.union(asked).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side")
     across = met.mapInArrow(_met(num, den), "a long, b long")
-    rest = staged(apart(cheap).union(across).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = staged_few(apart(cheap).union(across).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     late = _verify(docs, classes, rest, num, den)
     for end in ("a", "b"):
         late = late.join(component(end), end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
-    merged = staged(connected_components(late), "merged").select(F.col("node").alias("root"), F.col("root").alias("_root"))
+    merged = staged_few(connected_components(late), "merged").select(F.col("node").alias("root"), F.col("root").alias("_root"))
     nodes = roots.unionByName(merged.select(F.col("root").alias("node"), "root")).distinct()
-    roots = nodes.join(merged, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    roots = staged_few(nodes.join(merged, "root", "left").select("node", F.coalesce("_root", "root").alias("root")), "roots")
 
     placed = classes.groupBy("doc").agg(F.min("rep").alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("doc", F.coalesce("root", "rep").alias("component"))
