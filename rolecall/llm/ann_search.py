@@ -166,6 +166,8 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10) ->
     quantile = chi_square_quantile(CONFIDENCE, M)
     asked = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector").distinct()
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    # The sample bounds the number of leaves; fuller leaves are searched in parts.
+    parts = max(1, math.ceil(number / (LEAF << (tree.depth + 1))))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,15 +183,17 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10) ->
 
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
     leaves = staged(points.mapInArrow(placed, "vec_id long, vector array<double>, leaf long"), "leaves")
-    copies = leaves.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part")
+    copies = leaves.select("vec_id", "vector", "leaf", part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def answers(queries: DataFrame) -> DataFrame:
-        queries = queries.select("query_id", "vector", "leaf", block)
-        return copies.groupBy("leaf", "block").cogroup(queries.groupBy("leaf", "block")).applyInPandas(_search(directions, k, quantile), _ANSWERS)
+        queries = queries.select("query_id", "vector", "leaf", block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+        keys = ["leaf", "block", "part"]
+        return copies.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_search(directions, k, quantile), _ANSWERS)
 
     home = staged(answers(asked.mapInArrow(placed, "query_id long, vector array<double>, leaf long")), "home")
     by_rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    bound = home.withColumn("_n", F.row_number().over(by_rank)).groupBy("query_id").agg(F.max(F.when(F.col("_n") == k, F.col("score"))).alias("bound"))
+    bound = home.distinct().withColumn("_n", F.row_number().over(by_rank)).groupBy("query_id").agg(F.max(F.when(F.col("_n") == k, F.col("score"))).alias("bound"))
     reach = asked.join(bound, "query_id", "left").select("query_id", "vector", F.coalesce("bound", F.lit(float("inf"))))
     found = answers(reach.mapInArrow(spread, "query_id long, vector array<double>, leaf long"))
     ranked = found.distinct().withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k)

@@ -266,3 +266,19 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_full_leaves_are_searched_in_parts(spark, monkeypatch):
+    from rolecall.llm import ann_search
+
+    monkeypatch.setattr(ann_search, "LEAF", 4)
+    monkeypatch.setattr(ann_search, "SAMPLE", 40)
+    monkeypatch.setattr(ann_search, "QUERY_BLOCK", 3)
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)]
+    got = {}
+    for r in nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=4).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = nearest(rows, 20, 4)
+    hits = sum(len(set(got[q]) & {v for _, v in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values())) and all(len(x) == 4 for x in got.values())
