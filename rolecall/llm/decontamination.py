@@ -1,12 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are cut into passages of two steps of STEP words. Passages of the corpus are
-TF-IDF rows over hashed words; a randomised decomposition of their Gram matrix
-(a Gaussian sketch, summed over all passages, then the Nystroem form) gives the
-leading singular directions. Corpus and benchmark passages are compared by the
-cosine of their whitened coordinates; the pairs above NEAR are candidates. A
-candidate's surroundings are then held against the whole item: the longest common
-subsequence of its words, leaving out words that are common in the corpus, and
+Texts are cut into passages of two steps of STEP words. The steps of the corpus are
+TF-IDF rows over hashed words; a randomised decomposition of their Gram matrix gives
+the leading singular directions. Its sketch is the Gram matrix times a sparse sign
+matrix, which one scan sums over all steps together with the document frequencies
+(the weights are applied to the sums), and the Nystroem form of the sketch is then
+decomposed. Corpus and benchmark passages are compared by the cosine of their
+whitened coordinates; pairs above NEAR are candidates. Those that share enough
+telling words (words that are not common in the corpus) by a bit signature are held
+whole against the item: the longest common subsequence of its telling words, and
 whether the item's answer (its last sentence) is there.
 """
 
@@ -22,20 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.llm.common import blocks, ragged, small_batches, staged, text_values
-from rolecall.llm.hashing import RangeHash
+from rolecall.llm.hashing import narrow_hashes
 
 #: Words of a step; a passage is two steps.
 STEP = 12
-#: Hashed words, singular directions, and further sketch columns.
-FEATURES, RANK, SPARE = 1 << 14, 64, 16
-#: Least cosine of a candidate.
-NEAR = 0.42
+#: Hashed words, singular directions, and columns of the sketch.
+BITS, RANK, COLUMNS = 14, 64, 96
+FEATURES = 1 << BITS
+#: Least cosine of a candidate, and the least share of an item passage's signature that it holds.
+NEAR, SHARED = 0.5, 0.3
 #: An item is leaked if the common subsequence holds COPIED of its words, or PARAPHRASED of them and ANSWERED of its answer's.
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.55, 0.8
 #: A word in more than this share of the corpus's steps is common and proves nothing; an item needs TELLING other words, else all count.
 COMMON, TELLING = 0.02, 3
-#: Benchmark items held against the corpus in one scan.
-ITEM_BLOCK = 2_000
+#: Benchmark items held against the corpus in one scan, and candidates verified at once in a task.
+ITEM_BLOCK, TOGETHER = 2_000, 20_000
 #: Parts in which the sketch is summed.
 PARTS = 16
 SEED = 11
@@ -48,114 +51,119 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, words per text): runs of letters, digits and non-ASCII bytes, A-Z lower-cased."""
     whole = b" ".join([*texts, b""]).translate(_GAP)
     buffer = np.frombuffer(whole, np.uint8)
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], buffer == 32]).astype(np.int8)))
+    inside = buffer != 32
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(buffer) and inside[0]:
+        edge = np.concatenate([[0], edge])
     start, end = edge[::2], edge[1::2]
     borders = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    counts = np.diff(np.searchsorted(start, borders))
-    return RangeHash(buffer).of(start, end), counts
+    return narrow_hashes(buffer, start, end), np.diff(np.searchsorted(start, borders))
 
 
 def _features(words: np.ndarray) -> np.ndarray:
-    return (words >> _U(50)).astype(np.uint16)
+    return (words >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def _steps(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word of every step, steps per text); a text's last step may be short."""
+def _steps(features: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features of every step, steps per text): rows of STEP features, FEATURES where a text's last step is short."""
     number = -(-counts // STEP)
-    return np.repeat(np.cumsum(counts) - counts, number) + STEP * ragged(np.zeros(len(counts), np.int64), number), number
+    out = np.full(int(number.sum()) * STEP, FEATURES, np.int64)
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(features)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out[(np.cumsum(number) - number)[text] * STEP + place] = features
+    return out.reshape(-1, STEP), number
 
 
-def _step_sums(features: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(table[features], first, axis=0) if len(first) else np.zeros((0, table.shape[1]), table.dtype)
+def _signs() -> tuple[np.ndarray, np.ndarray]:
+    """The sparse test matrix: the one column and the sign of every feature; the filler has sign 0."""
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, COLUMNS, FEATURES + 1), np.append(rng.choice([-1.0, 1.0], FEATURES), 0.0)
 
 
-def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, passages = np.zeros(FEATURES, np.int64), 0
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each task's document frequencies, and its share of the sketch, in PARTS rows."""
+    column, sign = _signs()
+    sketch, df, steps = np.zeros((FEATURES + 1) * COLUMNS), np.zeros(FEATURES + 1, np.int64), 0
     for batch in batches:
         texts = text_values(batch.column(0))
         for lo, hi in blocks(texts):
             words, counts = words_of(texts[lo:hi])
-            first, number = _steps(counts)
-            if len(first):
-                step = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
-                seen = np.unique(step * FEATURES + _features(words))
-                total += np.bincount(seen % FEATURES, minlength=FEATURES)
-                passages += len(first)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, FEATURES)), pa.array(np.concatenate([[passages], total]))], names=["feature", "n"])
-
-
-def _sketch(weights):
-    """Each task's share of the Gram matrix times a Gaussian matrix, in PARTS rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = weights.value
-        gauss = (np.random.default_rng(SEED).standard_normal((FEATURES, RANK + SPARE)) * idf[:, None]).astype(np.float32)
-        total = np.zeros((FEATURES, RANK + SPARE))
-        for batch in batches:
-            texts = text_values(batch.column(0))
-            for lo, hi in blocks(texts):
-                words, counts = words_of(texts[lo:hi])
-                first, _ = _steps(counts)
-                if not len(first):
-                    continue
-                features = _features(words)
-                sizes = np.diff(np.append(first, len(words)))
-                norm = np.sqrt(np.add.reduceat(idf[features] ** 2, first))
-                seen = _step_sums(features, first, gauss) / np.maximum(norm, 1e-9)[:, None] ** 2
-                order = np.argsort(features, kind="stable")
-                heads = np.flatnonzero(np.concatenate([[True], np.diff(features[order].astype(np.int32)) > 0]))
-                step = np.repeat(np.arange(len(first)), sizes)
-                total[features[order][heads]] += np.add.reduceat(seen[step[order]], heads, axis=0)
-        total = (total * idf[:, None]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in np.split(total, PARTS)], pa.binary())], names=["part", "sums"])
-
-    return run
+            rows, _ = _steps(_features(words), counts)
+            if not len(rows):
+                continue
+            steps += len(rows)
+            held = np.sort(rows.astype(np.uint16), axis=1)
+            fresh = np.ones(held.shape, bool)
+            fresh[:, 1:] = held[:, 1:] != held[:, :-1]
+            df += np.bincount(held[fresh], minlength=FEATURES + 1)
+            for k in range(STEP):  # every word of a step meets the step's k-th word's column
+                at = rows * COLUMNS + column[rows[:, k]][:, None]
+                sketch += np.bincount(at.ravel(), weights=np.repeat(sign[rows[:, k]], STEP), minlength=len(sketch))
+    sums = np.concatenate([df[:FEATURES, None], sketch.reshape(-1, COLUMNS)[:FEATURES]], axis=1)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in np.split(sums, PARTS)], pa.binary()), pa.array([steps] * PARTS, pa.int64())],
+        names=["part", "sums", "steps"],
+    )
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
+    steps: dict[int, int] = {}
     for batch in batches:
-        for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            sums[part] = sums.get(part, 0) + np.frombuffer(data.as_buffer(), np.float32).astype(np.float64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "sums"])
+        for part, data, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            sums[part] = sums.get(part, 0) + np.frombuffer(data.as_buffer(), np.float64)
+            steps[part] = steps.get(part, 0) + n
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary()), pa.array(list(steps.values()), pa.int64())], names=["part", "sums", "steps"])
 
 
 def singular_directions(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """FEATURES x RANK, taking a passage's word counts to whitened coordinates of the corpus's
-    leading directions; and which features are common."""
-    context = texts.sparkSession.sparkContext
-    counts = texts.mapInArrow(_document_frequencies, "feature long, n long").groupBy("feature").sum("n").toPandas().sort_values("feature")
-    counts = counts.iloc[:, 1].to_numpy(np.float64)
-    if not len(counts):
-        return np.zeros((FEATURES, RANK), np.float32), np.zeros(FEATURES, bool)
-    idf = (np.log((counts[0] + 1) / (counts[1:] + 1)) + 1).astype(np.float32)
-    sketch = texts.mapInArrow(_sketch(context.broadcast(idf)), "part int, sums binary")
-    parts = sketch.repartition(PARTS, "part").mapInArrow(_added, "part int, sums binary").toPandas().sort_values("part")
-    y = np.concatenate([np.frombuffer(s, np.float64) for s in parts["sums"]]).reshape(FEATURES, RANK + SPARE)
-    gauss = np.random.default_rng(SEED).standard_normal((FEATURES, RANK + SPARE))
-    shift = 1e-6 * np.linalg.norm(y)
-    y = y + shift * gauss
-    inner = gauss.T @ y
+    """FEATURES + 1 x RANK, taking a passage's words to whitened coordinates of the corpus's
+    leading directions (the filler to 0); and which features are common."""
+    parts = texts.mapInArrow(_fit, "part int, sums binary, steps long").repartition(PARTS, "part").mapInArrow(_added, "part int, sums binary, steps long")
+    parts = parts.toPandas().sort_values("part")
+    table, common = np.zeros((FEATURES + 1, RANK), np.float32), np.zeros(FEATURES + 1, bool)
+    if not len(parts) or not parts["steps"].iloc[0]:
+        return table, common
+    sums = np.concatenate([np.frombuffer(s, np.float64) for s in parts["sums"]]).reshape(FEATURES, COLUMNS + 1)
+    df, steps = sums[:, 0], parts["steps"].iloc[0]
+    idf = np.log((steps + 1) / (df + 1)) + 1
+    column, sign = _signs()
+    test = np.zeros((FEATURES, COLUMNS))
+    test[np.arange(FEATURES), column[:FEATURES]] = sign[:FEATURES] / idf
+    product = idf[:, None] * sums[:, 1:]
+    inner = test.T @ product
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     values = np.maximum(values, 1e-9 * max(values.max(), 1e-30))
-    directions, scale, _ = np.linalg.svd((y @ vectors) / np.sqrt(values), full_matrices=False)
-    scale = np.sqrt(np.maximum(scale[:RANK] ** 2 - shift, 1e-12))
-    table = (idf[:, None] * directions[:, :RANK] / np.maximum(scale, 1e-3 * scale.max())).astype(np.float32)
-    return table, counts[1:] > COMMON * counts[0]
+    directions, scale, _ = np.linalg.svd((product @ vectors) / np.sqrt(values), full_matrices=False)
+    scale = np.maximum(scale[:RANK], 1e-3 * scale.max())
+    table[:FEATURES] = idf[:, None] * directions[:, :RANK] / scale
+    common[:FEATURES] = df > COMMON * steps
+    return table, common
 
 
-def _passages(features: np.ndarray, counts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit coordinates, text, first word in the text) of the passages: every two neighbouring steps, or a lone one."""
-    first, number = _steps(counts)
-    sums = _step_sums(features, first, table)
+def _passages(words: np.ndarray, counts: np.ndarray, table: np.ndarray, common: np.ndarray):
+    """(unit coordinates, signatures, text, first word in the text) of the passages: every two neighbouring steps, or a lone one.
+
+    A signature has four 64-bit words; each telling word sets one of their bits.
+    """
+    features = _features(words)
+    rows, number = _steps(features, counts)
+    bits = np.where(common[rows] | (rows == FEATURES), np.uint64(0), np.uint64(1) << (rows & 63).astype(np.uint64))
+    limb = (rows >> 6) & 3
+    signs = np.stack([np.bitwise_or.reduce(np.where(limb == k, bits, np.uint64(0)), axis=1) for k in range(4)], axis=1)
+    sums = table[rows[:, 0]]
+    for k in range(1, STEP):
+        sums += table[rows[:, k]]
     passages = np.maximum(number - 1, np.minimum(number, 1))
-    at = ragged(np.cumsum(number) - number, passages)
+    head = np.cumsum(number) - number
+    at = ragged(head, passages)
     owner = np.repeat(np.arange(len(counts)), passages)
     pair = np.flatnonzero(number[owner] > 1)
-    out = sums[at]
+    out, told = sums[at], signs[at]
     out[pair] += sums[at[pair] + 1]
+    told[pair] |= signs[at[pair] + 1]
     out /= np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-12)
-    return out, owner, first[at] - (np.cumsum(counts) - counts)[owner]
+    return out, told, owner, (at - head[owner]) * STEP
 
 
 def common_subsequence(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -183,67 +191,83 @@ class Items:
     """Some benchmark items: telling words, those of the answers, and the coordinates of their passages."""
 
     def __init__(self, ids: list, texts: list[str], table: np.ndarray, common: np.ndarray):
-        raw = [t.encode() for t in texts]
-        words, counts = words_of(raw)
-        edges = np.concatenate([[0], np.cumsum(counts)])
+        words, self.sizes = words_of([t.encode() for t in texts])
+        edges = np.concatenate([[0], np.cumsum(self.sizes)])
         self.ids = np.array(ids, np.int64)
         self.words = [words[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        answers = [(re.split(r"(?<=[.!?])\s+", t.strip()) or [""])[-1].encode() for t in texts]
-        found, sizes = words_of(answers)
+        found, sizes = words_of([(re.split(r"(?<=[.!?])\s+", t.strip()) or [""])[-1].encode() for t in texts])
         ends = np.concatenate([[0], np.cumsum(sizes)])
         self.answers = [found[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        self.coordinates, self.item, _ = _passages(_features(words), counts, table)
-        self.sizes = counts
+        self.coordinates, self.told, self.item, _ = _passages(words, self.sizes, table, common)
         self.telling = np.array([(~common[_features(w)]).sum() >= TELLING for w in self.words], bool)
         for parts in (self.words, self.answers):
             for i in np.flatnonzero(self.telling):
                 parts[i] = parts[i][~common[_features(parts[i])]]
+        # A passage of an item without telling words may be anything.
+        self.least = np.where(self.telling[self.item], np.ceil(SHARED * np.bitwise_count(self.told).sum(axis=1)), 0)
+
+    def verified(self, item: int, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaked, share of the item's words, share of its answer's) of some candidates' surroundings."""
+        share = common_subsequence(self.words[item], around) / len(self.words[item])
+        maybe = share >= min(PARAPHRASED, COPIED)
+        answer = np.zeros(len(around))
+        if maybe.any() and len(self.answers[item]):
+            answer[maybe] = common_subsequence(self.answers[item], around[maybe]) / len(self.answers[item])
+        return (share >= COPIED) | (maybe & (answer >= ANSWERED)), share, answer
 
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, common, items = shared.value
+        waiting: dict[int, list[tuple]] = {}
+        number = 0
+
+        def settle():
+            rows = []
+            for item, parts in waiting.items():
+                around, doc, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+                leak, share, answer = items.verified(item, around)
+                rows += [(d, t, int(items.ids[item]), s, w) for d, t, s, w in zip(doc[leak].tolist(), text[leak].tolist(), share[leak].tolist(), answer[leak].tolist(), strict=True)]
+            waiting.clear()
+            names = ["doc_id", "text_hash", "item_id", "lcs_share", "answer_share"]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            doc, *rest = zip(*rows, strict=True) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((doc, *rest), kinds, strict=True)], names=names)
+
         for batch in batches:
             texts = text_values(batch.column(2))
-            for lo, hi in blocks(texts, 1 << 20):
+            doc = np.array(batch.column(0).to_pylist(), object)
+            mark = np.asarray(batch.column(1))
+            for lo, hi in blocks(texts):
                 words, counts = words_of(texts[lo:hi])
                 if not len(words):
                     continue
-                near, owner, start = _passages(_features(words), counts, table)
+                near, told, owner, start = _passages(words, counts, table, common)
                 heads = np.cumsum(counts) - counts
-                told = np.where(common[_features(words)], _U(0), words)
+                telling = np.where(common[_features(words)], np.uint32(0), words)
                 pairs = []
-                for a in range(0, len(near), 8192):
-                    row, column = np.nonzero(near[a : a + 8192] @ items.coordinates.T >= NEAR)
-                    pairs.append((row + a, items.item[column]))
-                row, item = (np.concatenate(x) if pairs else np.zeros(0, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
-                out = []
-                for j in np.unique(item):
+                for a in range(0, len(near), 4096):
+                    row, column = np.nonzero(near[a : a + 4096] @ items.coordinates.T >= NEAR)
+                    row += a
+                    both = np.zeros(len(row), np.int64)
+                    for k in range(4):
+                        both += np.bitwise_count(told[row, k] & items.told[column, k])
+                    ok = both >= items.least[column]
+                    pairs.append((row[ok], items.item[column[ok]]))
+                row, item = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                for j in np.unique(item).tolist():
                     at = np.unique(row[item == j])
-                    size = len(items.words[j])
                     reach = int(items.sizes[j]) + STEP  # the item may begin before the passage or end behind it
                     place = (start[at] - reach)[:, None] + np.arange(2 * reach + 2 * STEP)
                     inside = (place >= 0) & (place < counts[owner[at]][:, None])
-                    seen = told if items.telling[j] else words
-                    around = np.where(inside, seen[np.where(inside, place + heads[owner[at]][:, None], 0)], _U(0))
-                    share = common_subsequence(items.words[j], around) / size
-                    maybe = share >= min(PARAPHRASED, COPIED)
-                    answer = np.zeros(len(at))
-                    if maybe.any() and len(items.answers[j]):
-                        answer[maybe] = common_subsequence(items.answers[j], around[maybe]) / len(items.answers[j])
-                    leak = (share >= COPIED) | ((share >= PARAPHRASED) & (answer >= ANSWERED))
-                    best: dict[int, tuple] = {}
-                    for i in np.flatnonzero(leak):
-                        text = int(owner[at[i]])
-                        best[text] = max(best.get(text, (0, 0)), (float(share[i]), float(answer[i])))
-                    out += [(text, int(items.ids[j]), s, w) for text, (s, w) in best.items()]
-                if out:
-                    text, ids, share, answer = zip(*out, strict=True)
-                    at = pa.array(lo + np.array(text))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(ids, pa.int64()), pa.array(share), pa.array(answer)],
-                        names=["doc_id", "text_hash", "item_id", "lcs_share", "answer_share"],
-                    )
+                    seen = telling if items.telling[j] else words
+                    around = np.where(inside, seen[np.where(inside, place + heads[owner[at]][:, None], 0)], np.uint32(0))
+                    waiting.setdefault(j, []).append((around, doc[lo + owner[at]], mark[lo + owner[at]]))
+                    number += len(at)
+                if number > TOGETHER:
+                    yield settle()
+                    number = 0
+        yield settle()
 
     return run
 

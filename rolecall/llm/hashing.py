@@ -48,3 +48,33 @@ class RangeHash:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * self.unshift[start]
         return mix(raw + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15))
+
+
+_NARROW = np.uint32
+_NARROW_BASE = _NARROW(0x9E3779B1)
+_NARROW_INVERSE = _NARROW(pow(0x9E3779B1, -1, 1 << 32))
+_NARROW_TABLE = (_TABLE >> _U(32)).astype(_NARROW)
+_NARROW_POWERS: dict = {}
+
+
+def _narrow_powers(base: np.uint32, n: int) -> np.ndarray:
+    have = _NARROW_POWERS.get(base)
+    if have is None or len(have) < n:
+        steps = np.full(max(1 << 20, 1 << n.bit_length()), base, _NARROW)
+        steps[0] = 1
+        have = np.cumprod(steps, dtype=_NARROW)
+        if len(have) <= 1 << 22:
+            _NARROW_POWERS[base] = have
+    return have[:n]
+
+
+def narrow_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32-bit hashes of byte ranges, at half the cost of RangeHash: enough to tell the words of a passage apart."""
+    sums = np.zeros(len(buffer) + 1, _NARROW)
+    np.cumsum(_NARROW_TABLE[buffer] * _narrow_powers(_NARROW_BASE, len(buffer)), out=sums[1:])
+    x = (sums[end] - sums[start]) * _narrow_powers(_NARROW_INVERSE, len(buffer) + 1)[start]
+    x ^= x >> _NARROW(15)
+    x *= _NARROW(0x2C1B3C6D)
+    x ^= x >> _NARROW(12)
+    x *= _NARROW(0x297A2D39)
+    return x ^ (x >> _NARROW(15))
