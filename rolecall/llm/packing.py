@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.llm.common import blocks, ragged, small_batches, text_values
-from rolecall.llm.words import WordCodec
+from rolecall.llm.words import codec_of
 
 #: The id that closes a document.
 END_ID = 1
@@ -33,7 +33,7 @@ def piece_lengths(tokens: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndar
 
 def _pieces(path: str, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = WordCodec(path)
+        codec = codec_of(path)
         sequence = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = text_values(batch.column(1))

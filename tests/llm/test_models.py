@@ -223,6 +223,24 @@ def test_packing_round_trip(spark):
         assert sorted(pieces) == np.cumsum([0, *[len(pieces[s]) for s in sorted(pieces)]])[:-1].tolist()
 
 
+@pytest.mark.parametrize(("remembered", "kept"), [(400, 50), (60, 20)])
+def test_the_word_table_is_bounded_and_changes_nothing(monkeypatch, remembered, kept):
+    from tokenizers import Tokenizer
+
+    from rolecall.llm import words
+
+    monkeypatch.setattr(words, "REMEMBERED", remembered)
+    monkeypatch.setattr(words, "KEPT", kept)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["the", "é.", "A,", f"w{rng.randrange(400)}", "x" * rng.randint(1, 6) + "Ü"]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    codec, tokenizer = words.WordCodec(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
+    for at in range(0, 60, 5):
+        ids, counts = codec.encode([t.encode() for t in texts[at : at + 5]])
+        edges = np.cumsum([0, *counts])
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at : at + 5]]
+        assert len(codec.keys) <= remembered
+
+
 def test_piece_lengths():
     lengths, number = piece_lengths(np.array([1, 2048, 2047, 5000]), 2048)
     assert number.tolist() == [1, 1, 11, 2 + bin(5000 - 4096).count("1")]
