@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from rolecall.session import ensure_checkpoint_dir, scratch_path
 
-#: Text handled at once inside a task; one longer document is handled alone.
-BLOCK_BYTES = 1 << 20
+#: Text handled at once inside a task, a little under a power of two; one longer document is handled alone.
+BLOCK_BYTES = 1_000_000
 #: Rows and bytes that go to a Python worker at once, at most (a longer row goes alone).
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back at once
 
