@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -119,6 +120,14 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def give_back() -> None:
+    """Ask the C library to return freed memory, where it can: a worker is kept for later tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0] .. +counts[0], starts[1] .. +counts[1], ... in one array."""
     ends = np.cumsum(counts)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import blocks, keep_ids, shuffle_partitions, small_batches, staged, staged_few, text_bytes, text_values
+from rolecall.llm.common import blocks, give_back, keep_ids, shuffle_partitions, small_batches, staged, staged_few, text_bytes, text_values
 from rolecall.llm.hashing import mix
 from rolecall.llm.shingles import shingle_sets
 from rolecall.operators.components import connected_components
@@ -173,6 +173,7 @@ def _rows(buckets: int, bands: Bands):
                     np.stack([spare_a, spare_b]).astype(np.int64).tobytes(), no_id[lo:hi].tobytes(), _sketches(hashes, counts),
                 ))
                 yield _batch(out)
+        give_back()
 
     return run
 
@@ -245,6 +246,8 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b, own_a, own_b = a[order], b[order], own_a[order].astype(np.int64), own_b[order].astype(np.int64)
     heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (own_a[1:] != own_a[:-1]) | (own_b[1:] != own_b[:-1])])) if len(a) else np.zeros(0, np.int64)
     yield _out(_PAIR, len(heads), a=a[heads], b=b[heads], c=np.diff(np.append(heads, len(a))), d=own_a[heads], e=own_b[heads])
+    del sig, doc, own, parts, kept, a, b, own_a, own_b, order
+    give_back()
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import blocks, ragged, small_batches, text_values
+from rolecall.llm.common import blocks, give_back, ragged, small_batches, text_values
 from rolecall.llm.words import codec_of
 
 #: The id that closes a document.
@@ -54,6 +54,8 @@ def _pieces(path: str, longest: int):
                     pa.array(sequence + np.arange(n)), pa.array(np.zeros(n, np.int64)), pa.array(np.log2(lengths).astype(np.int32)),
                 ], schema=_ARROW)
                 sequence += n
+        codec.rest()
+        give_back()
 
     return run
 

@@ -11,7 +11,7 @@ from rolecall.llm.common import ragged
 from rolecall.llm.hashing import RangeHash
 
 #: Words a worker remembers, about 50 bytes each; beyond it keeps the KEPT it met most often.
-REMEMBERED, KEPT = 800_000, 250_000
+REMEMBERED, KEPT = 800_000, 150_000
 #: Unknown words that are encoded as one text, and texts that are encoded at once.
 TOGETHER, AT_ONCE = 1_000, 16
 
@@ -74,9 +74,14 @@ class WordCodec:
     def _set(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray, met: np.ndarray) -> None:
         self.keys, self.count, self.ids, self.met = keys, count, ids, met
         self.start = (np.cumsum(count) - count).astype(np.int32)
-        self.places = Places(REMEMBERED)
+        self.places = Places(max(2 * len(keys), 1 << 16))
         self.places.add(keys, np.arange(len(keys), dtype=np.int32))
 
+    def rest(self) -> None:
+        """Between tasks only the most frequent words stay: the worker's memory is wanted for other work."""
+        if len(self.keys) > KEPT:
+            self._trim()
+
     def _trim(self) -> None:
         kept = np.sort(np.argsort(self.met, kind="stable")[-KEPT:])
         ids = self.ids[ragged(self.start[kept].astype(np.int64), self.count[kept].astype(np.int64))]
@@ -102,6 +107,9 @@ class WordCodec:
         more, sizes = self._encoded([texts[i] for i in other])
         counts = np.concatenate([np.diff(np.concatenate([[-1], last])), sizes]).astype(np.int32)
         order, known = np.concatenate([at, other]), len(self.keys)
+        if 2 * (known + len(order)) > len(self.places.keys):
+            self.places = Places(2 * (known + len(order)))
+            self.places.add(self.keys, np.arange(known, dtype=np.int32))
         self.places.add(keys[order], np.arange(known, known + len(order), dtype=np.int32))
         self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
         self.keys = np.concatenate([self.keys, keys[order]])
