@@ -1,15 +1,13 @@
-"""Benchmark decontamination by latent semantic retrieval.
-
-Texts are cut into passages of two steps of STEP words. The steps of the corpus are
-TF-IDF rows over hashed words; a randomised decomposition of their Gram matrix gives
-the leading singular directions. Its sketch is the Gram matrix times a sparse sign
-matrix, which one scan sums over all steps together with the document frequencies
-(the weights are applied to the sums), and the Nystroem form of the sketch is then
-decomposed. Corpus and benchmark passages are compared by the cosine of their
-whitened coordinates; pairs above NEAR are candidates. Those that share enough
-telling words (words that are not common in the corpus) by a bit signature are held
-whole against the item: the longest common subsequence of its telling words, and
-whether the item's answer (its last sentence) is there.
+"""Benchmark decontamination: exact candidates by counted words, then subsequences.
+
+Texts are cut into passages of two steps of STEP words; a passage's surroundings
+reach as far as an item that begins before it or ends behind it. An item is leaked
+where the longest common subsequence of its telling words (words that are not common
+in the corpus) and the surroundings is long enough, with or without the item's answer
+(its last sentence). A subsequence holds no more words than the surroundings have of
+the item's, so words are joined with the items' words and counted by step, and every
+passage whose surroundings count enough is a candidate. The count is never less than
+the subsequence: no pair that the test accepts is left out.
 """
 
 from __future__ import annotations
@@ -28,20 +26,19 @@ from rolecall.llm.hashing import narrow_hashes
 
 #: Words of a step; a passage is two steps.
 STEP = 12
-#: Hashed words, singular directions, and columns of the sketch.
-BITS, RANK, COLUMNS = 14, 64, 96
+#: Hashed words.
+BITS = 14
 FEATURES = 1 << BITS
-#: Least cosine of a candidate, and the least share of an item passage's signature that it holds.
-NEAR, SHARED = 0.5, 0.3
 #: An item is leaked if the common subsequence holds COPIED of its words, or PARAPHRASED of them and ANSWERED of its answer's.
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.55, 0.8
 #: A word in more than this share of the corpus's steps is common and proves nothing; an item needs TELLING other words, else all count.
 COMMON, TELLING = 0.02, 3
 #: Benchmark items held against the corpus in one scan, and candidates verified at once in a task.
 ITEM_BLOCK, TOGETHER = 2_000, 20_000
-#: Parts in which the sketch is summed.
+#: Parts in which the frequencies are summed.
 PARTS = 16
-SEED = 11
+#: Counts by item and step that a task holds at once, and items whose windows are counted alike.
+CELLS, ALIKE = 4_000_000, 32
 
 _U = np.uint64
 _GAP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -74,16 +71,9 @@ def _steps(features: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return out.reshape(-1, STEP), number
 
 
-def _signs() -> tuple[np.ndarray, np.ndarray]:
-    """The sparse test matrix: the one column and the sign of every feature; the filler has sign 0."""
-    rng = np.random.default_rng(SEED)
-    return rng.integers(0, COLUMNS, FEATURES + 1), np.append(rng.choice([-1.0, 1.0], FEATURES), 0.0)
-
-
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's document frequencies, and its share of the sketch, in PARTS rows."""
-    column, sign = _signs()
-    sketch, df, steps = np.zeros((FEATURES + 1) * COLUMNS), np.zeros(FEATURES + 1, np.int64), 0
+    """Each task's numbers of steps that hold a feature, in PARTS rows."""
+    df, steps = np.zeros(FEATURES + 1, np.int64), 0
     for batch in batches:
         texts = text_values(batch.column(0))
         for lo, hi in blocks(texts):
@@ -96,12 +86,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = np.ones(held.shape, bool)
             fresh[:, 1:] = held[:, 1:] != held[:, :-1]
             df += np.bincount(held[fresh], minlength=FEATURES + 1)
-            for k in range(STEP):  # every word of a step meets the step's k-th word's column
-                at = rows * COLUMNS + column[rows[:, k]][:, None]
-                sketch += np.bincount(at.ravel(), weights=np.repeat(sign[rows[:, k]], STEP), minlength=len(sketch))
-    sums = np.concatenate([df[:FEATURES, None], sketch.reshape(-1, COLUMNS)[:FEATURES]], axis=1)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in np.split(sums, PARTS)], pa.binary()), pa.array([steps] * PARTS, pa.int64())],
+        [pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in np.split(df[:FEATURES], PARTS)], pa.binary()), pa.array([steps] * PARTS, pa.int64())],
         names=["part", "sums", "steps"],
     )
 
@@ -111,59 +97,18 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     steps: dict[int, int] = {}
     for batch in batches:
         for part, data, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            sums[part] = sums.get(part, 0) + np.frombuffer(data.as_buffer(), np.float64)
+            sums[part] = sums.get(part, 0) + np.frombuffer(data.as_buffer(), np.int64)
             steps[part] = steps.get(part, 0) + n
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary()), pa.array(list(steps.values()), pa.int64())], names=["part", "sums", "steps"])
 
 
-def singular_directions(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """FEATURES + 1 x RANK, taking a passage's words to whitened coordinates of the corpus's
-    leading directions (the filler to 0); and which features are common."""
+def common_features(texts: DataFrame) -> np.ndarray:
+    """Which features are in more than COMMON of the corpus's steps."""
     parts = texts.mapInArrow(_fit, "part int, sums binary, steps long").repartition(PARTS, "part").mapInArrow(_added, "part int, sums binary, steps long")
     parts = parts.toPandas().sort_values("part")
-    table, common = np.zeros((FEATURES + 1, RANK), np.float32), np.zeros(FEATURES + 1, bool)
     if not len(parts) or not parts["steps"].iloc[0]:
-        return table, common
-    sums = np.concatenate([np.frombuffer(s, np.float64) for s in parts["sums"]]).reshape(FEATURES, COLUMNS + 1)
-    df, steps = sums[:, 0], parts["steps"].iloc[0]
-    idf = np.log((steps + 1) / (df + 1)) + 1
-    column, sign = _signs()
-    test = np.zeros((FEATURES, COLUMNS))
-    test[np.arange(FEATURES), column[:FEATURES]] = sign[:FEATURES] / idf
-    product = idf[:, None] * sums[:, 1:]
-    inner = test.T @ product
-    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    values = np.maximum(values, 1e-9 * max(values.max(), 1e-30))
-    directions, scale, _ = np.linalg.svd((product @ vectors) / np.sqrt(values), full_matrices=False)
-    scale = np.maximum(scale[:RANK], 1e-3 * scale.max())
-    table[:FEATURES] = idf[:, None] * directions[:, :RANK] / scale
-    common[:FEATURES] = df > COMMON * steps
-    return table, common
-
-
-def _passages(words: np.ndarray, counts: np.ndarray, table: np.ndarray, common: np.ndarray):
-    """(unit coordinates, signatures, text, first word in the text) of the passages: every two neighbouring steps, or a lone one.
-
-    A signature has four 64-bit words; each telling word sets one of their bits.
-    """
-    features = _features(words)
-    rows, number = _steps(features, counts)
-    bits = np.where(common[rows] | (rows == FEATURES), np.uint64(0), np.uint64(1) << (rows & 63).astype(np.uint64))
-    limb = (rows >> 6) & 3
-    signs = np.stack([np.bitwise_or.reduce(np.where(limb == k, bits, np.uint64(0)), axis=1) for k in range(4)], axis=1)
-    sums = table[rows[:, 0]]
-    for k in range(1, STEP):
-        sums += table[rows[:, k]]
-    passages = np.maximum(number - 1, np.minimum(number, 1))
-    head = np.cumsum(number) - number
-    at = ragged(head, passages)
-    owner = np.repeat(np.arange(len(counts)), passages)
-    pair = np.flatnonzero(number[owner] > 1)
-    out, told = sums[at], signs[at]
-    out[pair] += sums[at[pair] + 1]
-    told[pair] |= signs[at[pair] + 1]
-    out /= np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-12)
-    return out, told, owner, (at - head[owner]) * STEP
+        return np.zeros(FEATURES, bool)
+    return np.concatenate([np.frombuffer(s, np.int64) for s in parts["sums"]]) > COMMON * parts["steps"].iloc[0]
 
 
 def common_subsequence(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -188,9 +133,9 @@ def common_subsequence(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Some benchmark items: telling words, those of the answers, and the coordinates of their passages."""
+    """Some benchmark items: telling words, those of the answers, and the index from words to items."""
 
-    def __init__(self, ids: list, texts: list[str], table: np.ndarray, common: np.ndarray):
+    def __init__(self, ids: list, texts: list[str], common: np.ndarray):
         words, self.sizes = words_of([t.encode() for t in texts])
         edges = np.concatenate([[0], np.cumsum(self.sizes)])
         self.ids = np.array(ids, np.int64)
@@ -198,13 +143,53 @@ class Items:
         found, sizes = words_of([(re.split(r"(?<=[.!?])\s+", t.strip()) or [""])[-1].encode() for t in texts])
         ends = np.concatenate([[0], np.cumsum(sizes)])
         self.answers = [found[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        self.coordinates, self.told, self.item, _ = _passages(words, self.sizes, table, common)
         self.telling = np.array([(~common[_features(w)]).sum() >= TELLING for w in self.words], bool)
         for parts in (self.words, self.answers):
             for i in np.flatnonzero(self.telling):
                 parts[i] = parts[i][~common[_features(parts[i])]]
-        # A passage of an item without telling words may be anything.
-        self.least = np.where(self.telling[self.item], np.ceil(SHARED * np.bitwise_count(self.told).sum(axis=1)), 0)
+        # The fewest words of an item that the test may accept.
+        self.least = np.array([np.ceil(min(PARAPHRASED, COPIED) * len(w) - 1e-9) for w in self.words], np.int64)
+        # Items by size: neighbours in this order have windows of about the same length.
+        self.order = np.argsort(self.sizes, kind="stable")
+        pairs = [np.unique(self.words[i]) for i in self.order]
+        word, rank = np.concatenate([*pairs, np.zeros(0, np.uint32)]), np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        by = np.argsort(word, kind="stable")
+        self.ranks = rank[by]
+        self.vocabulary, self.first, self.number = np.unique(word[by], return_index=True, return_counts=True)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.vocabulary >> np.uint32(12)] = True
+
+    def candidates(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, texts, first words in their texts) of the passages whose surroundings hold enough of the item's words."""
+        if not len(self.vocabulary):
+            return
+        number, heads = -(-counts // STEP), np.cumsum(counts) - counts
+        head, steps = np.cumsum(number) - number, int(number.sum())
+        owner = np.repeat(np.arange(len(counts)), number)
+        opens = np.ones(steps, bool)  # every two neighbouring steps are a passage, or a lone one
+        opens[(head + number - 1)[number > 1]] = False
+        hit = np.flatnonzero(self.maybe[words >> np.uint32(12)])
+        slot = np.minimum(np.searchsorted(self.vocabulary, words[hit]), len(self.vocabulary) - 1)
+        same = self.vocabulary[slot] == words[hit]
+        hit, slot = hit[same], slot[same]
+        text = np.repeat(np.arange(len(counts)), counts)[hit]
+        step = head[text] + (hit - heads[text]) // STEP
+        rank, step = self.ranks[ragged(self.first[slot], self.number[slot])], np.repeat(step, self.number[slot])
+        alike = max(1, min(ALIKE, CELLS // max(1, steps)))
+        for a in range(0, len(self.order), alike):
+            group = self.order[a : a + alike]
+            reach = int(self.sizes[group].max()) + STEP
+            before, behind = -(-reach // STEP), -(-(reach + 2 * STEP) // STEP)
+            width = steps + before + behind
+            mine = (rank >= a) & (rank < a + alike)
+            held = np.bincount((rank[mine] - a) * width + step[mine] + before, minlength=len(group) * width)
+            sums = np.zeros((len(group), width + 1), np.int32)
+            np.cumsum(held.reshape(len(group), width), axis=1, out=sums[:, 1:])
+            enough = sums[:, before + behind : before + behind + steps] - sums[:, :steps] >= self.least[group][:, None]
+            for i in np.flatnonzero(enough.any(axis=1)).tolist():
+                at = np.flatnonzero(enough[i] & opens)
+                if len(at):
+                    yield int(group[i]), owner[at], (at - head[owner[at]]) * STEP
 
     def verified(self, item: int, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(leaked, share of the item's words, share of its answer's) of some candidates' surroundings."""
@@ -218,7 +203,7 @@ class Items:
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, common, items = shared.value
+        common, items = shared.value
         waiting: dict[int, list[tuple]] = {}
         number = 0
 
@@ -242,31 +227,21 @@ def _search(shared):
                 words, counts = words_of(texts[lo:hi])
                 if not len(words):
                     continue
-                near, told, owner, start = _passages(words, counts, table, common)
                 heads = np.cumsum(counts) - counts
                 telling = np.where(common[_features(words)], np.uint32(0), words)
-                pairs = []
-                for a in range(0, len(near), 4096):
-                    row, column = np.nonzero(near[a : a + 4096] @ items.coordinates.T >= NEAR)
-                    row += a
-                    both = np.zeros(len(row), np.int64)
-                    for k in range(4):
-                        both += np.bitwise_count(told[row, k] & items.told[column, k])
-                    ok = both >= items.least[column]
-                    pairs.append((row[ok], items.item[column[ok]]))
-                row, item = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                for j in np.unique(item).tolist():
-                    at = np.unique(row[item == j])
+                for j, owner, start in items.candidates(words, counts):
                     reach = int(items.sizes[j]) + STEP  # the item may begin before the passage or end behind it
-                    place = (start[at] - reach)[:, None] + np.arange(2 * reach + 2 * STEP)
-                    inside = (place >= 0) & (place < counts[owner[at]][:, None])
                     seen = telling if items.telling[j] else words
-                    around = np.where(inside, seen[np.where(inside, place + heads[owner[at]][:, None], 0)], np.uint32(0))
-                    waiting.setdefault(j, []).append((around, doc[lo + owner[at]], mark[lo + owner[at]]))
-                    number += len(at)
-                if number > TOGETHER:
-                    yield settle()
-                    number = 0
+                    for a in range(0, len(start), TOGETHER):
+                        own = owner[a : a + TOGETHER]
+                        place = (start[a : a + TOGETHER] - reach)[:, None] + np.arange(2 * reach + 2 * STEP)
+                        inside = (place >= 0) & (place < counts[own][:, None])
+                        around = np.where(inside, seen[np.where(inside, place + heads[own][:, None], 0)], np.uint32(0))
+                        waiting.setdefault(j, []).append((around, doc[lo + own], mark[lo + own]))
+                        number += len(own)
+                        if number > TOGETHER:
+                            yield settle()
+                            number = 0
         yield settle()
 
     return run
@@ -286,15 +261,15 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     number = items.count()
-    table, common = singular_directions(docs.select("text")) if number else (None, None)
+    common = common_features(docs.select("text")) if number else None
     blocks_of = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-number // ITEM_BLOCK)))))
     found = []
     for block in range(-(-number // ITEM_BLOCK)):
         rows = blocks_of.filter(F.col("_block") == block).select("item_id", "text").toPandas().sort_values(["item_id", "text"])
-        kept = [n > 0 for n in Items(rows["item_id"].tolist(), rows["text"].tolist(), table, common).sizes] if len(rows) else []
+        kept = [n > 0 for n in Items(rows["item_id"].tolist(), rows["text"].tolist(), common).sizes] if len(rows) else []
         rows = rows[kept] if any(kept) else rows[:0]
         if len(rows):
-            shared = spark.sparkContext.broadcast((table, common, Items(rows["item_id"].tolist(), rows["text"].tolist(), table, common)))
+            shared = spark.sparkContext.broadcast((common, Items(rows["item_id"].tolist(), rows["text"].tolist(), common)))
             found.append(docs.mapInArrow(_search(shared), "doc_id long, text_hash long, item_id long, lcs_share double, answer_share double"))
     if not found:
         return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, lcs_share double, answer_share double")

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rolecall.llm import queries
-from rolecall.llm.decontamination import common_subsequence, find_leaks, words_of
+from rolecall.llm.decontamination import ANSWERED, BITS, COMMON, COPIED, PARAPHRASED, STEP, TELLING, common_subsequence, find_leaks, words_of
 from rolecall.llm.language_id import families, fit_languages, identify_languages
 from rolecall.llm.secret_scan import RULES, candidate_rules, redacted, scan_secrets
 from rolecall.llm.trigrams import trigram_query
@@ -157,6 +157,52 @@ def test_leaks_and_paraphrases_are_found_and_clean_texts_are_not(spark):
     assert len(got) == len(found)
 
 
+def leaks_by_brute_force(docs, pairs):
+    """Every passage's surroundings held against the item, for pairs of a document and (item, text)."""
+    words = {d: words_of([t.encode()])[0] for d, t in docs}
+    steps = [np.unique(w[a : a + STEP] >> (32 - BITS)) for w in words.values() for a in range(0, len(w), STEP)]
+    common = np.bincount(np.concatenate(steps), minlength=1 << BITS) > COMMON * len(steps)
+    found = {}
+    for d, (i, text) in pairs:
+        whole, answer = (words_of([x.encode()])[0] for x in (text, re.split(r"(?<=[.!?])\s+", text.strip())[-1]))
+        told = lambda w: w[~common[w >> (32 - BITS)]]
+        pick = told if len(told(whole)) >= TELLING else lambda w: w
+        reach, w = len(whole) + STEP, words[d]
+        around = [pick(w[max(0, a - reach) : a + 2 * STEP + reach]) for a in range(0, max(1, -(-len(w) // STEP) - 1) * STEP, STEP)]
+        rows = np.array([np.pad(x, (0, 2 * reach + 2 * STEP - len(x))) for x in around])
+        share = common_subsequence(pick(whole), rows) / len(pick(whole))
+        kept = common_subsequence(pick(answer), rows) / len(pick(answer)) if len(pick(answer)) else np.zeros(len(rows))
+        leak = (share >= COPIED) | ((share >= PARAPHRASED) & (kept >= ANSWERED))
+        if leak.any():
+            found[d, i] = round(share[leak].max(), 9)
+    return found
+
+
+def test_planted_items_are_found_wherever_the_subsequence_is_long_enough(spark):
+    rng = random.Random(12)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL").orderBy("doc_id").select("text").collect()
+    docs = [(d, r.text) for d, r in enumerate(rows)]
+    pool = sorted(spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect())
+    items = [(i, " ".join(r.text.split()[-5 - i % 11 :] if i % 2 else r.text.split())) for i, r in enumerate(pool)]
+    pairs = []
+    for i, text in items:
+        words = text.split()
+        tail = len(re.split(r"(?<=[.!?])\s+", text)[-1].split())  # the answer stays
+        for share in (0.6, 0.8, 1.0):
+            copy = list(words)
+            for k in rng.sample(range(len(words) - tail), min(len(words) - tail, int((1 - share) * len(words)))):
+                copy[k] = f"p{rng.randrange(10**6)}"
+            host = rng.choice(docs[: len(rows)])[1].split()[:80]
+            at = rng.randrange(len(host) + 1)
+            pairs.append((len(docs), (i, text)))
+            docs.append((len(docs), " ".join([*host[:at], *copy, *host[at:]])))
+    want = leaks_by_brute_force(docs, pairs)
+    leaks = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): round(r.lcs_share, 9) for r in leaks}
+    assert len(want) > 400
+    assert {k: got.get(k) for k in want} == want
+
+
 @pytest.mark.parametrize(("docs", "items"), [([], [(1, "a b c")]), ([(1, "a b c")], []), ([(1, None)], [(1, "a")]), ([(1, "a b")], [(1, None)])])
 def test_leaks_of_empty_tables(spark, docs, items):
     assert find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
