@@ -4,7 +4,7 @@ Texts are cut into passages of two steps of STEP words; a passage's surroundings
 reach as far as an item that begins before it or ends behind it. An item is leaked
 where the longest common subsequence of its telling words (words that are not common
 in the corpus) and the surroundings is long enough, with or without the item's answer
-(its last sentence). A subsequence holds no more words than the surroundings have of
+(its last sentence; one without telling words is held whole against all words). A subsequence holds no more words than the surroundings have of
 the item's, so words are joined with the items' words and counted by step, and every
 passage whose surroundings count enough is a candidate. The count is never less than
 the subsequence: no pair that the test accepts is left out.
@@ -144,9 +144,11 @@ class Items:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         self.answers = [found[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         self.telling = np.array([(~common[_features(w)]).sum() >= TELLING for w in self.words], bool)
-        for parts in (self.words, self.answers):
-            for i in np.flatnonzero(self.telling):
-                parts[i] = parts[i][~common[_features(parts[i])]]
+        self.plain = ~self.telling  # items whose answers are held whole against all words
+        for i in np.flatnonzero(self.telling):
+            self.words[i], answer = (x[~common[_features(x)]] for x in (self.words[i], self.answers[i]))
+            self.plain[i] = not len(answer)
+            self.answers[i] = self.answers[i] if self.plain[i] else answer
         # The fewest words of an item that the test may accept.
         self.least = np.array([np.ceil(min(PARAPHRASED, COPIED) * len(w) - 1e-9) for w in self.words], np.int64)
         # Items by size: neighbours in this order have windows of about the same length.
@@ -191,13 +193,13 @@ class Items:
                 if len(at):
                     yield int(group[i]), owner[at], (at - head[owner[at]]) * STEP
 
-    def verified(self, item: int, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(leaked, share of the item's words, share of its answer's) of some candidates' surroundings."""
+    def verified(self, item: int, around: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaked, share of the item's words, share of its answer's) of some candidates' surroundings; `whole` holds their untouched words if the item is plain."""
         share = common_subsequence(self.words[item], around) / len(self.words[item])
         maybe = share >= min(PARAPHRASED, COPIED)
         answer = np.zeros(len(around))
         if maybe.any() and len(self.answers[item]):
-            answer[maybe] = common_subsequence(self.answers[item], around[maybe]) / len(self.answers[item])
+            answer[maybe] = common_subsequence(self.answers[item], (whole if self.plain[item] else around)[maybe]) / len(self.answers[item])
         return (share >= COPIED) | (maybe & (answer >= ANSWERED)), share, answer
 
 
@@ -210,8 +212,8 @@ def _search(shared):
         def settle():
             rows = []
             for item, parts in waiting.items():
-                around, doc, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-                leak, share, answer = items.verified(item, around)
+                around, whole, doc, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+                leak, share, answer = items.verified(item, around, whole)
                 rows += [(d, t, int(items.ids[item]), s, w) for d, t, s, w in zip(doc[leak].tolist(), text[leak].tolist(), share[leak].tolist(), answer[leak].tolist(), strict=True)]
             waiting.clear()
             names = ["doc_id", "text_hash", "item_id", "lcs_share", "answer_share"]
@@ -236,8 +238,10 @@ def _search(shared):
                         own = owner[a : a + TOGETHER]
                         place = (start[a : a + TOGETHER] - reach)[:, None] + np.arange(2 * reach + 2 * STEP)
                         inside = (place >= 0) & (place < counts[own][:, None])
-                        around = np.where(inside, seen[np.where(inside, place + heads[own][:, None], 0)], np.uint32(0))
-                        waiting.setdefault(j, []).append((around, doc[lo + own], mark[lo + own]))
+                        at = np.where(inside, place + heads[own][:, None], 0)
+                        around = np.where(inside, seen[at], np.uint32(0))
+                        whole = np.where(inside, words[at], np.uint32(0)) if items.plain[j] else around
+                        waiting.setdefault(j, []).append((around, whole, doc[lo + own], mark[lo + own]))
                         number += len(own)
                         if number > TOGETHER:
                             yield settle()

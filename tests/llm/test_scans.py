@@ -203,6 +203,19 @@ def test_planted_items_are_found_wherever_the_subsequence_is_long_enough(spark):
     assert {k: got.get(k) for k in want} == want
 
 
+def test_a_paraphrase_is_found_by_an_answer_of_common_words(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"u{i}x{k}" for k in range(20)) + ". " + ("The of the in of." if i % 2 else "The " + f"v{i}.")) for i in range(20)]
+    docs = [(1000 + d, prose(rng, 60) + " in" * 20) for d in range(100)]
+    for i, text in items:
+        words, answer = text.split()[:20], text.split()[20:]
+        words[3:9] = [f"p{i}x{k}" for k in range(6)]
+        docs += [(i, " ".join([*words, *answer])), (100 + i, " ".join([*words, "no", "such"]))]  # with the answer, and without
+    docs = [(d, " ".join(["in", t, *["in the of"] * 2])) if d >= 1000 else (d, t) for d, t in docs]
+    got = {(r.doc_id, r.item_id): r.answer_share for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i): 1.0 for i, _ in items}
+
+
 @pytest.mark.parametrize(("docs", "items"), [([], [(1, "a b c")]), ([(1, "a b c")], []), ([(1, None)], [(1, "a")]), ([(1, "a b")], [(1, None)])])
 def test_leaks_of_empty_tables(spark, docs, items):
     assert find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
