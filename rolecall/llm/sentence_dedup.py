@@ -1,8 +1,13 @@
-"""Sliding sentence spans: repeated runs of consecutive sentences are removed but for their first place.
-
-From every sentence a span reaches over at least RUN sentences and WORDS words.
-Spans are named by a hash of their words, dealt by name, and compared across all
-documents; the sentences of every span that is not its name's earliest go.
+"""Sliding sentence spans: repeated runs of consecutive pieces of sentences are removed but for their first place.
+
+Sentences are cut into pieces behind words that their hash chooses: of any LONG words
+in a row, the smallest. A word is chosen by the LONG - 1 words on its sides alone, so
+what two texts share is cut alike in both, wherever its sentences begin and end there,
+but for its first and last LONG - 1 words. From every piece a span reaches over at
+least RUN pieces and WORDS words. Pieces have at most LONG words, so any 50 words that
+two texts share hold a whole span: one begins in the first 2 LONG - 1 words, has at
+most WORDS - 1 + LONG, and ends before the last LONG - 1. Spans are named by a hash of their words, dealt by name, and compared across all
+documents; the pieces of every span that is not its name's earliest go.
 """
 
 from __future__ import annotations
@@ -18,10 +23,10 @@ from rolecall.llm.common import blocks, identified, real_id, shuffle_partitions,
 from rolecall.llm.hashing import RangeHash, mix
 from rolecall.llm.spans import INTERVALS, Earliest, merged, pack_intervals, per_document
 
-#: A span has at least so many sentences and words.
-RUN, WORDS = 3, 15
-#: A sentence of more words is cut behind words that their hash chooses, one in eight.
-LONG = 24
+#: A span has at least so many pieces of sentences and words.
+RUN, WORDS = 2, 15
+#: Of so many words in a row in a sentence one ends a piece.
+LONG = 9
 BUCKET_BYTES = 16 << 20
 SORT_ROWS = 2_000_000
 
@@ -34,10 +39,11 @@ _STOP[list(b".!?")] = True
 
 
 def sentences(texts: list[bytes]):
-    """(names, words, first byte, end byte, per text) of the sentences of some texts.
+    """(names, words, first byte, end byte, per text) of the pieces of some texts' sentences.
 
     A sentence ends behind a word that ends in `.`, `!` or `?`, at a line end, and
-    at the end of the text; its bytes reach to the next sentence's first word.
+    at the end of the text, a piece also behind a chosen word; its bytes reach to the
+    next piece's first word.
     """
     none = np.zeros(0, _I)
     whole = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
@@ -61,8 +67,15 @@ def sentences(texts: list[bytes]):
         return first, last
 
     first, last = closed(stop)
-    long = np.repeat(last - first + 1 > LONG, last - first + 1)
-    stop |= long & (word >> _U(61) == 0)
+    ends = np.repeat(last, last - first + 1)
+    open_ = np.flatnonzero(np.arange(len(word)) + LONG - 1 <= ends)  # LONG words from here on are in one sentence
+    least, chosen = word[open_], open_.copy()
+    for k in range(1, LONG):
+        other = word[open_ + k]
+        smaller = other <= least
+        chosen[smaller] = open_[smaller] + k
+        np.minimum(least, other, out=least)
+    stop[chosen] = True
     first, last = closed(stop)
     name = RangeHash(word).of(first, last + 1)
     own = owner[first]
@@ -132,12 +145,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeated_spans(documents: DataFrame) -> DataFrame:
-    """Every text without the sentences of repeated spans, the first place of each span staying.
+    """Every text without the pieces of repeated spans, the first place of each span staying.
 
     Reads doc_id and text (other columns are ignored). First is the smallest doc_id,
-    then the earliest sentence; repeats inside a document count. Words are compared
+    then the earliest piece; repeats inside a document count. Words are compared
     with A-Z lower-cased and blanks alike. Returns per row doc_id, n_sentences,
-    n_removed (sentences) and text. A null text is empty; texts shorter than a span
+    n_removed (pieces of sentences, as n_sentences) and text. A null text is empty; texts shorter than a span
     stay whole. Rows without doc_id come last; rows equal in doc_id and text are one
     document and each get its result.
     """

@@ -171,6 +171,27 @@ def test_repeated_passages_go_and_other_text_stays(spark):
     assert remove_repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("stops", [(24, 48), (18, 36, 54), (17, 34), (25,), (), (3, 27, 51), range(1, 54, 4)], ids=str)
+def test_any_fifty_shared_words_hold_a_span_wherever_they_stand(spark, stops):
+    rng = random.Random(len(stops))
+    word = lambda: f"x{rng.randrange(10**9)}"
+    rows, shared = [], []
+    for i in range(60):
+        passage = [word() + ("." if k + 1 in stops else "") for k in range(50 + i % 5)]
+        for k in range(2):  # i % 3: behind a sentence's end in both, in one, in neither; an unfinished tail
+            head, tail = ([word() for _ in range(rng.randint(1, 40))] for _ in range(2))
+            head[-1] += "." if i % 3 > k else ""
+            rows.append((2 * i + k, " ".join([*head, *passage, *tail]) + "."))
+        shared.append({w.strip(".") for w in passage})
+    got = {r.doc_id: r.text for r in remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, words in enumerate(shared):
+        assert got[2 * i] == rows[2 * i][1]
+        kept = [w.strip(".") for w in got[2 * i + 1].split()]
+        own = [w.strip(".") for w in rows[2 * i + 1][1].split() if w.strip(".") not in words]
+        assert [w for w in kept if w not in words] == own  # nothing else goes
+        assert len(kept) - len(own) <= len(words) - WORDS  # a whole span at least has gone
+
+
 def test_kept_digest_is_of_the_bytes_left(spark):
     got = remove_repeats(spark.createDataFrame([(1, "é" * 80)], "doc_id long, text string")).select(F.sha2("kept", 256).alias("h")).first()
     data = ("é" * 80).encode()
