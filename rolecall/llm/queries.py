@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rolecall.llm import oracles
 from rolecall.llm.ann_search import nearest_neighbours
+from rolecall.llm.byte_bpe import decode_bytes, encode_bytes
 from rolecall.llm.chat_format import link_tool_calls
 from rolecall.llm.common import table
 from rolecall.llm.decontamination import find_leaks
@@ -105,11 +106,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    of = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = decode_bytes(encode_bytes(table(spark, sf_dir, "documents"), *of), *of)
+    words = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(words, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_jaccard_join, op2_sentence_spans, op3_secret_scan, op4_suffix_dedup, op5_decontamination,
         op6_language_id, op7_ann_search, op8_chat_format, op9_lm_scoring, op10_packing,
+        op11_byte_bpe,
     )
 }
 
