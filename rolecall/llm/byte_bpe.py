@@ -140,7 +140,7 @@ class ByteBpe:
 
     def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per chunk): words that are tokens as they are, all others by the recursive query."""
-        split = [self.find(c.decode()) for c in chunks]
+        split = [self.find(c.decode("utf-8", "replace")) for c in chunks]
         words = list(chain.from_iterable(split))
         different = set(words)
         if len(self.codes) + len(different) > WORDS:

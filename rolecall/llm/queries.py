@@ -16,10 +16,12 @@ from rolecall.llm.decontamination import find_leaks
 from rolecall.llm.jaccard_join import jaccard_components
 from rolecall.llm.language_id import fit_languages, identify_languages
 from rolecall.llm.lm_score import score_documents
+from rolecall.llm.merkle import merkle_manifest
 from rolecall.llm.packing import pack_binary
 from rolecall.llm.secret_scan import joined, scan_secrets
 from rolecall.llm.sentence_dedup import remove_repeated_spans
 from rolecall.llm.substring_dedup import remove_repeats
+from rolecall.llm.token_alignment import rate_links
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -115,12 +117,24 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(words, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    docs = table(spark, sf_dir, "documents")
+    found = merkle_manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", tampered, {"text": lowered})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_links(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_jaccard_join, op2_sentence_spans, op3_secret_scan, op4_suffix_dedup, op5_decontamination,
         op6_language_id, op7_ann_search, op8_chat_format, op9_lm_scoring, op10_packing,
-        op11_byte_bpe,
+        op11_byte_bpe, op12_merkle_manifest, op13_token_alignment,
     )
 }
 
@@ -129,4 +143,5 @@ ORACLES: dict[str, str] = {
     "op3_secret_scan": oracles.SECRETS,
     "op4_suffix_dedup": oracles.REPEATS,
     "op8_chat_format": oracles.CHAT,
+    "op12_merkle_manifest": oracles.MERKLE,
 }
