@@ -26,9 +26,9 @@ from rolecall.llm.chunks import CodedLists, KeyedLists, chunk_codes
 from rolecall.llm.common import blocks, give_back, small_batches, text_values
 
 #: Words a worker remembers besides its chunks.
-WORDS = 400_000
+WORDS = 200_000
 #: Text of one look-up, bytes of new words in one recursive query and ids in one decoding; a longer text or word has its own.
-TEXT_BYTES, WORD_BYTES, IDS = 3_000_000, 600_000, 1_000_000
+TEXT_BYTES, WORD_BYTES, IDS = 2_000_000, 400_000, 400_000
 #: Units of more bytes contract all places of a pair at once where that comes to the same.
 LONG = 64
 #: DuckDB's share of a worker's memory. A row of a query takes about 100 bytes.
@@ -102,7 +102,7 @@ class ByteBpe:
                     pairs.append(a << 32 | b)
                     merged.append(rank)
                     early.update(x for x in (a, b) if x > rank)  # may be merged on before equal pairs are
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": "", "allocator_flush_threshold": "16MB"})
         merges = [pa.array(pairs, pa.int64()), pa.array([m << 32 for m in merged], pa.int64()), pa.array([m in early for m in merged])]
         self._query("CREATE TABLE merges AS SELECT * FROM given", given=pa.table(merges, ["pair", "rank", "alone"]))
         self._query("CREATE TABLE vocabulary AS SELECT * FROM given", given=pa.table([pa.array(self.ranks.values(), pa.int32()), pa.array(self.ranks, pa.binary())], ["id", "bytes"]))
@@ -170,6 +170,8 @@ class ByteBpe:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         """Every text's bytes; null where an id is not in the vocabulary."""
+        if not len(ids):
+            return pa.array([b""] * len(counts), pa.binary())
         rows = [np.repeat(np.arange(len(counts), dtype=np.int32), counts), np.arange(len(ids), dtype=np.int32), ids.astype(np.int32)]
         found = self._query(DECODE, ids=pa.table([pa.array(r) for r in rows], ["text", "place", "id"])).combine_chunks()
         out: list = [b""] * len(counts)
