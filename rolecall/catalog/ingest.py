@@ -17,7 +17,7 @@ from rolecall.plans.views import AS_OF
 LISTED_SQL = f"""
 SELECT external_id, company_id, source, k, replace(title, '  ', ' ') AS title, discipline, level, posted_at,
  CASE WHEN level = 'INTERN' THEN 'INTERNSHIP' ELSE 'FULL_TIME' END AS employment_type,
- CASE k % 3 WHEN 0 THEN 'Kafka,Python,Docker' WHEN 1 THEN 'Kafka,React,React Native' ELSE 'Kafka,Go,Rust' END AS tags,
+ CASE k % 3 WHEN 0 THEN 'Kafka,Python,Docker' WHEN 1 THEN 'Kafka,React,React Native' ELSE 'Kafka,Go,Rust,.NET' END AS tags,
  CASE place WHEN 'Bangalore, India' THEN 'Bengaluru' WHEN 'Hyderabad / Pune' THEN 'Hyderabad · Pune'
   WHEN 'Remote - India' THEN 'India' WHEN 'Surat, Gujarat' THEN 'Surat' ELSE 'Gurugram · Delhi' END AS location,
  CASE WHEN place = 'Remote - India' OR workplace = 'REMOTE' THEN 'REMOTE' WHEN workplace = 'HYBRID' THEN 'HYBRID' ELSE 'ONSITE' END AS remote,
@@ -44,7 +44,7 @@ def normalize(t):
 
 @query(
     "F6_extract_tags",
-    """SELECT external_id, CASE k % 3 WHEN 0 THEN 'Kafka,Python,Docker' WHEN 1 THEN 'Kafka,React,React Native' ELSE 'Kafka,Go,Rust' END AS tags
+    """SELECT external_id, CASE k % 3 WHEN 0 THEN 'Kafka,Python,Docker' WHEN 1 THEN 'Kafka,React,React Native' ELSE 'Kafka,Go,Rust,.NET' END AS tags
  FROM v_posting""",
 )
 def tags(t):

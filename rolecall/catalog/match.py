@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rolecall.catalog import query
+from rolecall.operators.overlap import overlap_counts
 from rolecall.plans import recommend, suggest
 
 _VOCAB = """SELECT kind, label, key, n AS count, slug FROM (
@@ -117,6 +118,17 @@ def overlap(t):
     return people.join(roles, "skill").select("skill", "level", "candidates", "roles")
 
 
+@query(
+    "J8_distinct_overlap",
+    """SELECT j.id, count(DISTINCT s.user_id) AS candidates FROM v_job j LEFT JOIN v_job_tag t ON t.job_id = j.id
+ LEFT JOIN v_candidate_skill s ON s.skill = t.tag WHERE j.status = 'ACTIVE' GROUP BY j.id""",
+)
+def distinct_overlap(t):
+    """For every open role the candidates who share a skill with it, each counted once."""
+    roles = t.job.filter(F.col("status") == "ACTIVE").select("id", "tags")
+    return overlap_counts(t.candidate, "skills", roles, "tags", "candidates").drop("tags")
+
+
 _LEVELS_SQL = """CASE WHEN c.years_experience IS NULL THEN true WHEN c.years_experience <= 0 THEN j.level IN ('INTERN', 'JUNIOR')
  WHEN c.years_experience = 1 THEN j.level IN ('JUNIOR', 'MID') WHEN c.years_experience <= 3 THEN j.level IN ('JUNIOR', 'MID', 'SENIOR')
  WHEN c.years_experience <= 6 THEN j.level IN ('MID', 'SENIOR') WHEN c.years_experience <= 9 THEN j.level IN ('SENIOR', 'STAFF', 'MANAGER')

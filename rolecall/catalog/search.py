@@ -127,10 +127,8 @@ _SEARCH_SQL = """SELECT * FROM v_job WHERE status = 'ACTIVE' AND contains(search
  (SELECT max(CASE WHEN pos = 20 THEN id END) AS id, max(pos) AS m FROM ranked) n WHERE r.pos <= 20""",
 )
 def search_page(t):
-    found = search.search_jobs(t.v_job, t.v_company, _SEARCH)
-    key = F.lit(1).alias("k")
-    rows = found.rows.select("id", "pos", key)
-    return rows.join(found.summary.select("total", "next_cursor", key), "k").drop("k")
+    found = search.match_page(t.v_job, t.v_company, _SEARCH)
+    return found.select("total", "next_cursor", F.posexplode("page").alias("pos", "id")).withColumn("pos", F.col("pos") + 1)
 
 
 @query(
@@ -308,6 +306,50 @@ def batch(t):
     return search.search_batch(jobs, t.v_company, _BATCH)
 
 
+# A saved search for every candidate, as query strings.
+_SAVED_SQL = """SELECT user_id AS search_id, CASE user_id % 5 WHEN 0 THEN 'ring' WHEN 1 THEN 'promo  bolt' WHEN 2 THEN 'li' END AS q,
+ CASE user_id % 7 WHEN 0 THEN 'nation_1' WHEN 1 THEN 'remote' END AS location, CASE WHEN user_id % 11 = 0 THEN 'HYBRID' END AS remote,
+ CASE user_id % 4 WHEN 0 THEN 'DATA' WHEN 1 THEN 'DESIGN' END AS discipline, CASE user_id % 9 WHEN 0 THEN 'SENIOR' WHEN 1 THEN 'MID' WHEN 2 THEN 'INTERN' END AS level,
+ CASE user_id % 13 WHEN 0 THEN '0-1' WHEN 1 THEN '3-5' WHEN 2 THEN '8-plus' END AS exp, CASE user_id % 6 WHEN 0 THEN 'FINTECH' WHEN 1 THEN 'SAAS' END AS industry,
+ CASE WHEN user_id % 17 = 0 THEN 'USD' END AS currency, CASE WHEN user_id % 3 = 0 THEN (user_id % 40) * 50000 END AS min_salary,
+ CASE WHEN user_id % 10 = 3 THEN 'PROMO' END AS tag, CASE WHEN user_id % 8 = 0 THEN '1' END AS salary,
+ CASE user_id % 3 WHEN 1 THEN 'newest' WHEN 2 THEN 'salary' END AS sort,
+ CASE WHEN user_id % 19 = 0 THEN 'job000000000006' END AS "cursor" FROM (SELECT c_custkey AS user_id FROM customer) u"""
+
+
+@query(
+    "J7_search_table",
+    f"""WITH s AS ({_SAVED_SQL}), asked AS (SELECT search_id AS rep, * EXCLUDE (search_id) FROM s),
+ j AS (SELECT v.*, c.industry, CASE currency WHEN 'INR' THEN 4 WHEN 'USD' THEN 3 WHEN 'GBP' THEN 2 WHEN 'EUR' THEN 1 END AS cur,
+  CASE WHEN experience_min IS NOT NULL THEN experience_min ELSE CASE level WHEN 'INTERN' THEN 0 WHEN 'JUNIOR' THEN 0 WHEN 'MID' THEN 2 WHEN 'SENIOR' THEN 5
+   WHEN 'PRINCIPAL' THEN 10 WHEN 'DIRECTOR' THEN 10 ELSE 8 END END AS e0,
+  CASE WHEN experience_min IS NOT NULL THEN CASE WHEN experience_max IS NULL THEN experience_min + 2 ELSE greatest(experience_max, experience_min + 1) END
+   ELSE CASE level WHEN 'INTERN' THEN 1 WHEN 'JUNIOR' THEN 2 WHEN 'MID' THEN 5 WHEN 'SENIOR' THEN 7 WHEN 'PRINCIPAL' THEN 12 WHEN 'DIRECTOR' THEN 12 ELSE 10 END END AS e1
+  FROM v_job v JOIN v_company c ON c.id = v.company_id),
+ hit AS (SELECT a.rep, a.sort, j.id, j.posted_at, CASE WHEN a.sort IS DISTINCT FROM 'newest' THEN j.salary_disclosed END AS k1,
+   CASE WHEN a.sort = 'salary' THEN j.cur END AS k2, CASE WHEN a.sort = 'salary' THEN j.salary_max END AS k3, CASE WHEN a.sort = 'salary' THEN j.salary_min END AS k4, a."cursor" AS start
+  FROM asked a JOIN j ON j.status = 'ACTIVE' AND (a.q IS NULL OR (a.q = 'promo  bolt' AND contains(j.search_text, 'promo') AND contains(j.search_text, 'bolt')) OR contains(j.search_text, a.q))
+   AND (a.location IS NULL OR CASE a.location WHEN 'remote' THEN j.remote = 'REMOTE' ELSE contains(lower(j.location), a.location) END)
+   AND (a.remote IS NULL OR j.remote = a.remote) AND (a.discipline IS NULL OR j.discipline = a.discipline) AND (a.level IS NULL OR j.level = a.level)
+   AND (a.exp IS NULL OR (a.exp = '0-1' AND j.e0 < 1 AND j.e1 > 0) OR (a.exp = '3-5' AND j.e0 < 5 AND j.e1 > 3) OR (a.exp = '8-plus' AND j.e1 > 8))
+   AND (a.industry IS NULL OR j.industry = a.industry) AND (a.currency IS NULL OR j.currency = a.currency)
+   AND (coalesce(a.min_salary, 0) = 0 OR (j.currency = 'INR' AND j.salary_max >= a.min_salary)) AND (a.salary IS NULL OR j.salary_disclosed)
+   AND (a.tag IS NULL OR j.id IN (SELECT job_id FROM v_job_tag WHERE tag = a.tag))),
+ begun AS (SELECT a.rep, CASE WHEN a.sort IS DISTINCT FROM 'newest' THEN j.salary_disclosed END AS k1, CASE WHEN a.sort = 'salary' THEN j.cur END AS k2,
+   CASE WHEN a.sort = 'salary' THEN j.salary_max END AS k3, CASE WHEN a.sort = 'salary' THEN j.salary_min END AS k4, j.posted_at, j.id FROM asked a JOIN j ON j.id = a."cursor"),
+ both_ AS (SELECT h.*, begun.id IS NULL OR row(coalesce(h.k1, false), coalesce(h.k2, -1), coalesce(h.k3, -1), coalesce(h.k4, -1), h.posted_at, h.id)
+   < row(coalesce(begun.k1, false), coalesce(begun.k2, -1), coalesce(begun.k3, -1), coalesce(begun.k4, -1), begun.posted_at, begun.id) AS here FROM hit h LEFT JOIN begun ON begun.rep = h.rep),
+ ranked AS (SELECT rep, id, here, count(*) OVER (PARTITION BY rep) AS total, row_number() OVER (PARTITION BY rep, here
+   ORDER BY k1 DESC NULLS LAST, k2 DESC NULLS LAST, k3 DESC NULLS LAST, k4 DESC NULLS LAST, posted_at DESC, id DESC) AS pos FROM both_)
+ SELECT rep AS search_id, pos, id, total FROM ranked r WHERE r.here AND r.pos <= 20""",
+)
+def saved_searches(t):
+    """Query strings are parsed (P13) and all of them answered from the job table together."""
+    saved = t.sql(_SAVED_SQL.replace('"cursor"', "cursor"))
+    raw = saved.select(*[F.col(c) if c == "search_id" else F.array(F.col(c).cast("string")).alias(c) for c in saved.columns])
+    return search.search_table(t.job, t.v_company, P.parse_search_params(raw))
+
+
 @query("J9_range_overlap", f"SELECT bucket, count(*) AS jobs FROM ({_BUCKET_SQL}) x GROUP BY bucket")
 def range_overlap(t):
     """The same overlap read as a join to the bucket table, which is five fixed rows."""

@@ -190,7 +190,7 @@ SKILLS = [
     ("FastAPI", r"(?i)\bFast ?API\b"),
     ("Express", r"\bExpress(?:\.?js)?\b"),
     ("Hibernate", r"\bHibernate\b"),
-    (".NET", r"\.NET\b|(?i:\bdotnet\b)"),
+    (".NET", r"(?i)\.NET\b|\bdotnet\b"),
     ("C#", r"\bC#"),
     ("PHP", r"(?i)\bPHP\b"),
     ("Laravel", r"\bLaravel\b"),

@@ -37,6 +37,13 @@ def order_by(sort: str = "recommended") -> list[Column]:
     return [_comparable(name).desc_nulls_last() for name in _KEYS[sort]]
 
 
+def sort_key(sort: Column) -> Column:
+    """One value per row that descends in the order a column names; null is its end, as it is for structs."""
+    disclosed, by_pay = sort.isin("recommended", "salary"), sort == "salary"
+    pay = [F.when(by_pay, _comparable(name)).alias(f"_{name}") for name in ("currency", "salary_max", "salary_min")]
+    return F.struct(F.when(disclosed, F.col("salary_disclosed")).alias("_disclosed"), *pay, "posted_at", "id")
+
+
 def after_cursor(sort: str, cursor: Row | dict[str, Any]) -> Column:
     """Rows strictly after the cursor row, which need not be in the result any more.
 

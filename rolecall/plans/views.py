@@ -116,7 +116,7 @@ SELECT id AS external_id, company_id % 5 AS company_id, source, k, discipline, l
   CASE WHEN experience_min IS NULL THEN '' WHEN experience_max IS NULL
    THEN concat('You need ', CAST(experience_min AS STRING), '+ years of experience. ')
    ELSE concat('You need ', CAST(experience_min AS STRING), '-', CAST(experience_max AS STRING), ' years of experience. ') END,
-  'Stack: Kafka, Kafka, ', CASE k % 3 WHEN 0 THEN 'Python and Docker' WHEN 1 THEN 'React Native and React' ELSE 'Go, Rust' END,
+  'Stack: Kafka, Kafka, ', CASE k % 3 WHEN 0 THEN 'Python and Docker' WHEN 1 THEN 'React Native and React' ELSE 'Go, Rust and ASP.Net' END,
   '. You will join people who care about their craft and review work daily. Posting code ', CAST(k AS STRING), '.') AS description
 FROM (
  SELECT *, 3 + k6 % 5 AS lo, 4 + k6 % 5 + k6 % 2 AS hi, CASE WHEN k % 7 <> 0 THEN remote END AS workplace,

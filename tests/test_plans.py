@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rolecall.operators import similarity, sort
 from rolecall.operators.components import connected_components
+from rolecall.operators.overlap import overlap_counts
 from rolecall.operators.percentiles import exact_percentiles
 from rolecall.plans import dedupe, recommend, search, sync
 from rolecall.operators.filters import SearchParams
@@ -133,6 +134,50 @@ def test_paging_equals_full_order(spark, order, size):
         assert summary["next_cursor"] == (full[at + size - 1] if at + size < len(full) else None)
 
 
+@pytest.mark.parametrize("few", [20_000, 2])
+def test_searches_from_a_table_equal_one_by_one(spark, monkeypatch, few):
+    monkeypatch.setattr(search, "FEW_SEARCHES", few)
+    rng = random.Random(6)
+    base = [r + (rng.choice([1, 2, 3]), f"{rng.choice(['data', 'Ä-web', 'x'])} engineer {rng.choice(['acme', 'zed'])}".lower(), rng.choice(["DATA", "DESIGN"]),
+                 rng.choice(["MID", "SENIOR", "INTERN"]), rng.choice(["REMOTE", "ONSITE"]), rng.choice([None, 0, 3, 9]), rng.choice([None, 4, 12]),
+                 rng.choice(["Pune", "Navi Mumbai", "New Delhi"]), rng.choice([None, "India"]), rng.choice([["SQL"], ["Go", "SQL"], [], None]), rng.choice(["FULL_TIME", None])) for r in job_rows() * 1]
+    base = [(*r[:6], rng.choice(["ACTIVE", "ACTIVE", "EXPIRED"]), *r[7:]) for r in base]
+    extra = ", company_id long, search_text string, discipline string, level string, remote string, experience_min int, experience_max int, location string, remote_region string, tags array<string>, employment_type string"
+    jobs = spark.createDataFrame(base, JOB + extra).cache()
+    companies = spark.createDataFrame([(1, "SAAS"), (2, "FINTECH"), (3, None)], "id long, industry string")
+    options = {
+        "q": [None, None, "engineer", " data  acme ", "ä-", "zz", "x"], "location": [None, None, "Remote", "mumbai", "INDIA", "de"], "remote": [None, "REMOTE"],
+        "discipline": [None, "DATA"], "level": [None, "MID", "SENIOR"], "exp": [None, None, "0-1", "3-5", "8-plus"], "industry": [None, None, "SAAS"], "currency": [None, None, "INR", "USD"],
+        "min_salary": [None, 0, 300], "tag": [None, None, "SQL"], "city": [None, None, "Delhi"], "salary": [None, "1"], "employment_type": [None, None, "FULL_TIME"],
+        "sort": [None, "newest", "salary"], "cursor": [None, None, "job00000007", "job99999999"],
+    }
+    asked = [{name: rng.choice(values) for name, values in options.items()} for _ in range(25)] + [dict.fromkeys(options)] * 2
+    kinds = ", ".join(f"{name} {'long' if name == 'min_salary' else 'string'}" for name in options)
+    searches = spark.createDataFrame([(i, *a.values()) for i, a in enumerate(asked)], f"search_id int, {kinds}")
+    got = {}
+    for r in search.search_table(jobs, companies, searches, 5).orderBy("pos").collect():
+        got.setdefault(r["search_id"], ([], r["total"]))[0].append(r["id"])
+    for i, a in enumerate(asked):
+        params = SearchParams(**{k: bool(v) if k == "salary" else v for k, v in a.items() if k not in ("sort", "cursor") and v is not None})
+        page = search.match_page(jobs, companies, params, a["sort"] or "recommended", a["cursor"], 5).first()
+        assert got.get(i, ([], page["total"] if not page["page"] else 0)) == (page["page"], page["total"]), a
+    assert search.search_table(jobs, companies, searches.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overlap_counts_each_pair_once(spark, seed):
+    rng = random.Random(seed)
+    skills = [f"s{i}" for i in range(9)]
+
+    def some(most):
+        return rng.choice([None, [], [None, "s0", "s0"]]) if rng.random() < 0.1 else [skills[min(8, int(rng.expovariate(0.5)))] for _ in range(rng.randrange(most))]
+
+    people, roles = [(i, some(5)) for i in range(300)], [(i, some(7)) for i in range(120)]
+    kinds = "id long, values array<string>"
+    got = {r["id"]: r["n"] for r in overlap_counts(spark.createDataFrame(people, kinds), "values", spark.createDataFrame(roles, kinds), "values", "n").collect()}
+    assert got == {i: sum(bool(set(x or []) & set(y or []) - {None}) for _, y in people) for i, x in roles}
+
+
 # ------------------------------------------------------------------ merging and syncing
 
 LISTING = (

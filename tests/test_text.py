@@ -114,11 +114,13 @@ def test_tags(spark):
             ("React Native Engineer", "React Native, React, React"),
             ("x", "SQL Server and SQL"),
             ("x", "postgres, Postgresql, dotnet, .NET"),
+            ("Senior .net developer", "ASP.net and .Net Core."),
+            ("x", "An internet of things, .network and planet"),
         ],
         "a string, t string",
     )
     got = [r["r"] for r in df.select(classify.extract_tags(F.col("a"), F.col("t")).alias("r")).collect()]
-    assert got == [["Go", "Rust"], ["React Native", "React"], ["SQL", "SQL Server"], ["PostgreSQL", ".NET"]]
+    assert got == [["Go", "Rust"], ["React Native", "React"], ["SQL", "SQL Server"], ["PostgreSQL", ".NET"], [".NET"], []]
 
 
 def test_html(spark):
