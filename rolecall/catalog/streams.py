@@ -8,7 +8,7 @@ from rolecall.catalog import query
 from rolecall.catalog.ingest import as_of
 from rolecall.plans.views import AS_OF
 from rolecall.session import scratch_path
-from rolecall.streaming import streams
+from rolecall.streaming import expiry, streams
 
 _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -84,6 +84,32 @@ def recent(t):
     return streams.recent_clicks(daily, as_of(), [7, 30])
 
 
+# Five runs, four days apart. A role is confirmed by the first ones; some are met again after their week is over.
+_CONFIRMED = """SELECT id, source, posted_at, TIMESTAMP '2024-01-15 00:00:00' + r * INTERVAL '4' DAY AS verified_at, r AS run
+ FROM (SELECT *, CAST(substr(id, 4) AS BIGINT) AS k FROM v_job) j JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) v(r)) n
+ ON r <= k % 5 OR (k % 10 = 0 AND r = 3)"""
+
+
+@query(
+    "X5_expiry_timers",
+    f"""WITH c AS (SELECT *, posted_at + INTERVAL '30' DAY AS gone, verified_at + INTERVAL '7' DAY AS stale, lead(verified_at) OVER (PARTITION BY id ORDER BY verified_at) AS again
+  FROM ({_CONFIRMED}) x WHERE posted_at >= verified_at - INTERVAL '30' DAY), w AS (SELECT max(verified_at) AS now FROM c)
+ SELECT id, 'EXPIRED' AS status, stale AS at FROM c, w WHERE source <> 'MANUAL' AND stale < coalesce(again, now) AND stale < gone
+ UNION ALL SELECT id, 'ACTIVE', again FROM c WHERE source <> 'MANUAL' AND again > stale
+ UNION ALL SELECT DISTINCT id, 'DELETED', gone FROM c, w WHERE gone < now""",
+)
+def expiry_timers(t):
+    """Confirmations land run by run; the timers of a listing fire when the watermark has passed them."""
+    path = scratch_path(t.spark, "expiry")
+    confirmed = t.sql(_CONFIRMED)
+    for run in range(5):
+        confirmed.filter(F.col("run") == run).drop("run").write.mode("append").parquet(f"{path}/landed")
+    schema = "id string, source string, posted_at timestamp, verified_at timestamp"
+    changes = expiry.expiry_changes(t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed"))
+    expiry.write_changes(changes, f"{path}/changes", f"{path}/log").awaitTermination()
+    return t.spark.read.schema(changes.schema).parquet(f"{path}/changes")
+
+
 @query(
     "X6_rate_flag",
     """SELECT start, user_id AS client, requests FROM (
