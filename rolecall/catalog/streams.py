@@ -57,9 +57,10 @@ def applications(t):
         "user_id", "job_id", F.col("created_at").cast("timestamp"), F.col("last_clicked_at").cast("timestamp"), "stage"
     )
     clicks = _events(t, "click").select("user_id", "job_id", "created_at")
-    run = streams.stream_applications(clicks, stored, f"{path}/table", f"{path}/log")
+    table = streams.applications_table(stored, f"{path}/table")
+    run = streams.stream_applications(clicks, table, f"{path}/log")
     run.awaitTermination()
-    return streams.latest_version(t.spark, f"{path}/table", run, stored)
+    return streams.latest_version(table, run)
 
 
 @query(
@@ -166,13 +167,14 @@ _RUNS = f"""SELECT c.run_id, c.company_id, 'GREENHOUSE' AS source, c.run_id = 1
   CASE WHEN read AND again THEN TIMESTAMP '{AS_OF}' + INTERVAL '1' DAY ELSE TIMESTAMP '{AS_OF}' END FROM j""",
 )
 def synced(t):
-    """Listings land as files, each run in several, and are diffed run by run once a run is whole."""
+    """Listings land as files, each run in several, and are diffed feed by feed once a feed's run is whole."""
     path = scratch_path(t.spark, "sync")
     landed = t.sql(_LANDED)
     landed.repartition(3).write.parquet(f"{path}/landed")
     runs = t.sql(_RUNS)
     stored = t.sql(_STORED)
     arriving = t.spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed")
-    run = streams.stream_sync(arriving, runs, stored, f"{path}/table", f"{path}/log")
+    tables = streams.sync_tables(stored, arriving, f"{path}/tables")
+    run = streams.stream_sync(arriving, runs, tables, f"{path}/log")
     run.awaitTermination()
-    return streams.latest_version(t.spark, f"{path}/table", run, stored).select("external_id", "title", "status", "last_verified_at")
+    return streams.latest_version(tables.jobs, run).select("external_id", "title", "status", "last_verified_at")

@@ -1,13 +1,14 @@
 """The activity log and the feed snapshots as Structured Streaming jobs.
 
 Column work is in plain functions that take a stream or a table alike. Jobs
-that rewrite a table do it in `foreachBatch`, one table version per batch id, so
-a batch that runs twice writes the same version twice.
+that change a table do it in `foreachBatch`, one version of a bucketed table per
+batch id: only the buckets that a batch touches are rewritten, and a batch that
+runs twice writes the same version twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from rolecall.functions.display_text import country_code, safe_referrer
 from rolecall.operators.filters import is_active
 from rolecall.plans import sync
+from rolecall.session import cut_lineage
+from rolecall.sources.buckets import FIRST, BucketTable, changed_by
 from rolecall.sources.tables import upsert
 
 ID_PATTERN = r"(?i)^[a-z0-9]{10,40}$"
@@ -82,26 +85,12 @@ def rate_flags(requests: DataFrame, client: str, limit: int, window: str = "1 mi
     )
 
 
-# ------------------------------------------------------------------ table versions
+# ------------------------------------------------------------------ tables
 
-def versioned(path: str, first: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]):
-    """A foreachBatch sink holding a table as one folder per batch: version n is version n - 1
-    changed by batch n."""
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = first if batch_id == 0 else spark.read.schema(first.schema).parquet(f"{path}/v{batch_id - 1}")
-        change(before, batch).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-
-    return apply
-
-
-def latest_version(spark: SparkSession, path: str, query: StreamingQuery, first: DataFrame) -> DataFrame:
+def latest_version(table: BucketTable, query: StreamingQuery) -> DataFrame:
     """The table after the last finished batch."""
     progress = query.lastProgress
-    if progress is None:
-        return first
-    return spark.read.schema(first.schema).parquet(f"{path}/v{progress['batchId']}")
+    return table.rows(FIRST if progress is None else progress["batchId"])
 
 
 def upsert_applications(stored: DataFrame, clicks: DataFrame) -> DataFrame:
@@ -122,52 +111,85 @@ def upsert_applications(stored: DataFrame, clicks: DataFrame) -> DataFrame:
     )
 
 
-def stream_applications(clicks: DataFrame, stored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def applications_table(stored: DataFrame, path: str) -> BucketTable:
+    table = BucketTable(stored.sparkSession, path, stored.schema, ("user_id", "job_id"))
+    table.start(stored)
+    return table
+
+
+def stream_applications(clicks: DataFrame, table: BucketTable, checkpoint: str) -> StreamingQuery:
+    """Every batch rewrites the buckets of the pairs it names."""
     return (
-        clicks.writeStream.foreachBatch(versioned(path, stored, upsert_applications))
+        clicks.writeStream.foreachBatch(changed_by(table, upsert_applications))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+FEED = ("company_id", "source")
+
+
+class SyncTables(NamedTuple):
+    """What a streamed sync keeps, all in buckets of feeds."""
+
+    jobs: BucketTable
+    waiting: BucketTable  # rows of runs that have not landed whole, with run_id
+    done: BucketTable  # per feed the last run that was applied
+
+
+def sync_tables(stored: DataFrame, snapshots: DataFrame, path: str) -> SyncTables:
+    spark = stored.sparkSession
+    kinds = {"jobs": stored.schema, "waiting": snapshots.schema, "done": snapshots.select(*FEED, "run_id").schema}
+    tables = SyncTables(*[BucketTable(spark, f"{path}/{name}", schema, FEED) for name, schema in kinds.items()])
+    tables.jobs.start(stored)
+    for table in tables[1:]:
+        table.start(spark.createDataFrame([], table.schema))
+    return tables
+
+
 def whole_runs(landed: DataFrame, runs: DataFrame, done: DataFrame) -> DataFrame:
-    """run_id, run_at of the runs, not yet done, whose feeds have landed all the rows they fetched."""
-    there = landed.groupBy("run_id", "company_id", "source").agg(F.count(F.lit(1)).alias("_rows"))
-    feeds = runs.join(there, ["run_id", "company_id", "source"], "left").join(done, "run_id", "left_anti")
-    short = F.col("ok") & (F.coalesce("_rows", F.lit(0)) < F.col("fetched"))
-    return feeds.groupBy("run_id").agg(F.count_if(short).alias("_short"), F.max("run_at").alias("run_at")).filter("_short = 0").drop("_short")
+    """run_id, run_at, company_id, source of the feeds' runs that have landed all the rows they fetched and are not behind."""
+    there = landed.groupBy("run_id", *FEED).agg(F.count(F.lit(1)).alias("_rows"))
+    last = done.select(*FEED, F.col("run_id").alias("_last"))
+    met = there.join(runs, ["run_id", *FEED]).join(last, list(FEED), "left")
+    return met.filter("ok AND _rows >= fetched AND run_id > coalesce(_last, -1)").select("run_id", "run_at", *FEED)
 
 
-def stream_sync(snapshots: DataFrame, runs: DataFrame, stored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Landed listings, diffed against the table run by run.
+def stream_sync(snapshots: DataFrame, runs: DataFrame, tables: SyncTables, checkpoint: str) -> StreamingQuery:
+    """Landed listings, diffed against the table feed by feed.
 
     `snapshots`: listings with run_id, in any number of files and batches per run.
     `runs`: one row per run and feed: run_id, company_id, source, ok, error, fetched, run_at.
-    Rows wait until their run is whole, so a run that arrives in parts expires
-    nothing early; whole runs are applied in order of run_id, each at its own time.
-    Version n holds the table, the waiting rows and the runs done after batch n.
+    A feed's rows wait until its run is whole, so a run that arrives in parts
+    expires nothing early. Whole runs of a feed are applied in order of run_id, each
+    at its own time; what lands of a run after a later one was applied is dropped. A
+    batch reads and rewrites the buckets of its feeds: waiting rows and last runs,
+    and listings only where a run is whole.
     """
-    first = stored.columns
+    columns = tables.jobs.schema.names
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-
-        def before(part: str, schema, empty: DataFrame) -> DataFrame:
-            return empty if batch_id == 0 else spark.read.schema(schema).parquet(f"{path}/{part}v{batch_id - 1}")
-
-        table = before("", stored.schema, stored)
-        landed = before("waiting/", batch.schema, batch.limit(0)).union(batch)
-        done = before("done/", "run_id int", spark.createDataFrame([], "run_id int"))
-        ready = whole_runs(landed, runs, done).orderBy("run_id").collect()  # a few run ids
-        for run in ready:
-            rows = landed.filter(F.col("run_id") == run["run_id"]).drop("run_id")
-            feeds = runs.filter(F.col("run_id") == run["run_id"]).drop("run_id", "run_at")
-            table = sync.apply_sync(sync.plan_sync(table, rows, feeds), table, rows, F.lit(run["run_at"]), first)
-        ids = [run["run_id"] for run in ready]
-        landed.filter(~F.col("run_id").isin(ids)).write.mode("overwrite").parquet(f"{path}/waiting/v{batch_id}")
-        done.union(spark.createDataFrame([(i,) for i in ids], "run_id int")).write.mode("overwrite").parquet(f"{path}/done/v{batch_id}")
-        table.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        before = batch_id - 1
+        touched = tables.jobs.touched(batch)
+        landed = tables.waiting.rows(before, touched).unionByName(batch)
+        done = tables.done.rows(before, touched)
+        ready = cut_lineage(whole_runs(landed, runs, done))
+        # The bucket and run of every whole feed run: as many rows as the touched buckets have runs to apply.
+        applied = ready.select(tables.jobs.bucket().alias("bucket"), "run_id", "run_at").distinct().collect()
+        changed = sorted({r["bucket"] for r in applied})
+        listings = tables.jobs.rows(before, changed)
+        for run_id, run_at in sorted({(r["run_id"], r["run_at"]) for r in applied}):
+            whole = ready.filter(F.col("run_id") == run_id).select(*FEED)
+            rows = landed.filter(F.col("run_id") == run_id).drop("run_id").join(whole, list(FEED), "left_semi")
+            feeds = runs.filter(F.col("run_id") == run_id).drop("run_id", "run_at").join(whole, list(FEED), "left_semi")
+            listings = sync.apply_sync(sync.plan_sync(listings, rows, feeds), listings, rows, F.lit(run_at), columns)
+        tables.jobs.change(batch_id, changed, listings)
+        newest = done.unionByName(ready.select(*tables.done.schema.names)).groupBy(*FEED).agg(F.max("run_id").alias("run_id"))
+        tables.done.change(batch_id, touched, newest)
+        last = newest.withColumnRenamed("run_id", "_last")
+        open_rows = landed.join(last, list(FEED), "left").filter("run_id > coalesce(_last, -1)").select(*tables.waiting.schema.names)
+        tables.waiting.change(batch_id, touched, open_rows)
 
     return snapshots.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

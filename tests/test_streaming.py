@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from rolecall.plans import sync
-from rolecall.streaming import expiry
+from rolecall.sources.buckets import FIRST, BucketTable, changed_by
+from rolecall.streaming import expiry, streams
 
 CONFIRMATION = "id string, source string, posted_at timestamp, verified_at timestamp"
 
@@ -54,3 +55,87 @@ def test_a_late_confirmation_moves_nothing_back(spark, tmp_path):
     changes = expiry.expiry_changes(stream, "8 days")
     expiry.write_changes(changes, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
     assert spark.read.schema(changes.schema).parquet(f"{tmp_path}/out").count() == 0  # the clock stands at day 10
+
+
+# ------------------------------------------------------------------ bucketed tables
+
+APPLICATION = "user_id long, job_id string, created_at timestamp, last_clicked_at timestamp, stage string"
+
+
+def files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_a_batch_rewrites_the_buckets_that_it_touches(spark, tmp_path):
+    stored = spark.createDataFrame([(u, f"job{u % 7}", day(1), day(2), "OFFER") for u in range(1_000)], APPLICATION)
+    table = streams.applications_table(stored, str(tmp_path / "table"))
+    first = files(tmp_path / "table")
+    clicks = spark.createDataFrame([(u, "job3", day(5)) for u in range(0, 50, 10)] + [(2_000 + u, "new", day(6)) for u in range(5)], "user_id int, job_id string, created_at timestamp")
+    apply = changed_by(table, streams.upsert_applications)
+    apply(clicks, 0)
+    assert len(table.touched(clicks)) <= 10 < len(table.versions(0))
+    assert {b for b, v in table.versions(0).items() if v == 0} == set(table.touched(clicks))
+    assert first.items() <= files(tmp_path / "table").items()  # nothing else was written again
+    want = sorted(map(tuple, streams.upsert_applications(stored, clicks).collect()))
+    assert sorted(map(tuple, table.rows(0).collect())) == want
+    apply(clicks, 0)  # a replay
+    assert sorted(map(tuple, table.rows(0).collect())) == want
+    apply(clicks.limit(0), 1)
+    assert table.versions(1) == table.versions(0)
+    apply(clicks, 2)  # the same rows again change nothing
+    assert sorted(map(tuple, table.rows(2).collect())) == want
+    assert table.rows(FIRST).count() == 1_000
+
+
+def test_empty_tables_and_emptied_buckets(spark, tmp_path):
+    empty = spark.createDataFrame([], "k string, v long")
+    table = BucketTable(spark, str(tmp_path / "t"), empty.schema, ("k",), 4)
+    table.start(empty)
+    table.start(empty)
+    assert table.rows(FIRST).count() == 0
+    rows = spark.createDataFrame([(None, 1), ("a", 2), ("a", 3), ("b", 4)], empty.schema)
+    table.change(0, table.touched(rows), rows)
+    assert sorted(r["v"] for r in table.rows(0).collect()) == [1, 2, 3, 4]
+    gone = rows.filter("k = 'a'")
+    table.change(1, table.touched(gone), table.rows(0, table.touched(gone)).filter("k <> 'a'"))
+    assert 2 not in {r["v"] for r in table.rows(1).collect()} and table.rows(0).count() == 4
+
+
+def test_a_streamed_sync_waits_for_whole_runs_and_touches_their_feeds_only(spark, tmp_path):
+    kinds = "run_id int, company_id long, source string, external_id string, title string, content_hash string, salary_disclosed boolean, list_only boolean, detail_ready boolean, posted_at timestamp"
+    stored = spark.createDataFrame(
+        [(c, "LEVER", f"x{i}", f"old {i}", "ACTIVE", "h", day(1), day(1)) for c in range(40) for i in range(5)],
+        "company_id long, source string, external_id string, title string, status string, content_hash string, posted_at timestamp, last_verified_at timestamp",
+    )
+
+    def row(run, company, i, title="new", change="h2"):
+        return (run, company, "LEVER", f"x{i}", title, change, False, False, True, day(2))
+
+    runs = [(r, c, "LEVER", True, None, n, day(10 + r)) for r, c, n in ((1, 3, 3), (2, 3, 2), (3, 3, 2), (1, 8, 9), (2, 8, 1))]
+    runs = spark.createDataFrame(runs, "run_id int, company_id long, source string, ok boolean, error string, fetched long, run_at timestamp")
+    batches = [
+        [row(1, 3, 0), row(1, 3, 1)],  # a part of a run: waits
+        [row(1, 3, 9)],  # whole: x0, x1 changed, x9 new, x2 to x4 gone
+        [row(2, 3, 0, "lost"), row(3, 3, 0, "third", "h3"), row(3, 3, 9, "third", "h3"), row(1, 8, 1)],  # run 3 overtakes run 2
+        [row(2, 3, 1, "late"), row(2, 8, 4, "one", "h9")],  # run 2 is behind; company 8 has one role left
+    ]
+    (tmp_path / "in").mkdir()
+    schema = spark.createDataFrame([], kinds).schema
+    tables = streams.sync_tables(stored, spark.createDataFrame([], schema), str(tmp_path / "tables"))
+    jobs_versions = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        arriving = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        run = streams.stream_sync(arriving, runs, tables, f"{tmp_path}/log")
+        run.awaitTermination()
+        jobs_versions.append(tables.jobs.versions(run.lastProgress["batchId"]))
+    changed = [sum(v == n for v in held.values()) for n, held in enumerate(jobs_versions)]
+    assert changed[0] == 0 and all(n <= 2 for n in changed)
+    got = {(r["company_id"], r["external_id"]): (r["status"], r["title"], r["last_verified_at"]) for r in streams.latest_version(tables.jobs, run).collect()}
+    assert {k: v for k, v in got.items() if k[0] not in (3, 8)} == {(c, f"x{i}"): ("ACTIVE", f"old {i}", day(1)) for c in range(40) if c not in (3, 8) for i in range(5)}
+    assert {k[1]: v for k, v in got.items() if k[0] == 3} == {
+        "x0": ("ACTIVE", "third", day(13)), "x9": ("ACTIVE", "third", day(13)), "x1": ("EXPIRED", "new", day(11)),
+        "x2": ("EXPIRED", "old 2", day(1)), "x3": ("EXPIRED", "old 3", day(1)), "x4": ("EXPIRED", "old 4", day(1)),
+    }
+    assert {k[1]: v[0] for k, v in got.items() if k[0] == 8} == {"x0": "EXPIRED", "x1": "EXPIRED", "x2": "EXPIRED", "x3": "EXPIRED", "x4": "ACTIVE"}
+    assert tables.waiting.rows(run.lastProgress["batchId"]).count() == 0
