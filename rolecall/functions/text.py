@@ -41,6 +41,11 @@ def constant(value: object, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
+def sql_text(value: str) -> str:
+    """A string literal of a SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def bind(column: Column, use: Callable[[Column], Column]) -> Column:
     """`use(column)` with the column worked out once however often `use` mentions it."""
     return F.element_at(F.transform(F.array(column), use), 1)

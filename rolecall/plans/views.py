@@ -192,6 +192,9 @@ class Tables:
     @property
     def raw_posting(self) -> DataFrame:
         """v_posting in the shape a feed reader returns; Lever postings carry structured pay.
+
+        The base tables are one small file each, which one task would read and go on
+        with: the rows are dealt to all cores before any text rule runs.
         """
         pay = F.struct(
             (F.col("lo") * 100_000).cast("double").alias("min"),
@@ -199,7 +202,7 @@ class Tables:
             F.lit("inr").alias("currency"),
             F.lit("per-year-salary").alias("interval"),
         )
-        return self.v_posting.select(
+        return self.v_posting.repartition(self.spark.sparkContext.defaultParallelism, "external_id").select(
             "company_id", "source", "external_id", "title", F.lit(None).cast("string").alias("department"),
             "description", "apply_url", "requisition_id", F.lit(None).cast("string").alias("classification"),
             "workplace", F.array("place").alias("locations"), "posted_at",
