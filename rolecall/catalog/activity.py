@@ -109,14 +109,17 @@ def rename(t):
 
 @query(
     "L23_company_slug",
-    """WITH n AS (SELECT c_custkey, c_mktsegment AS name, lower(c_mktsegment) AS base, TIMESTAMP '2024-01-01 00:00:00' + (c_custkey % 30) * INTERVAL '1' DAY AS created_at FROM customer),
+    """WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 40 = 1 THEN concat(c_mktsegment, ' Group') ELSE c_mktsegment END AS name,
+  lower(CASE WHEN c_custkey % 40 = 1 THEN concat(c_mktsegment, '-group') ELSE c_mktsegment END) AS base,
+  TIMESTAMP '2024-01-01 00:00:00' + (c_custkey % 30) * INTERVAL '1' DAY AS created_at FROM customer),
  s AS (SELECT lower(concat(c_mktsegment, '-', CAST(c_custkey AS VARCHAR))) AS slug FROM customer WHERE c_custkey % 50 = 0),
- r AS (SELECT base, row_number() OVER (PARTITION BY base ORDER BY created_at, c_custkey) - 1 + (SELECT count(*) FROM s WHERE starts_with(s.slug, n.base)) AS taken FROM n)
+ r AS (SELECT a.c_custkey, a.base, count(b.c_custkey) + (SELECT count(*) FROM s WHERE starts_with(s.slug, a.base)) AS taken FROM n a
+  LEFT JOIN n b ON starts_with(b.base, a.base) AND (b.created_at, b.name, b.c_custkey) < (a.created_at, a.name, a.c_custkey) GROUP BY a.c_custkey, a.base)
  SELECT CASE WHEN taken = 0 THEN base ELSE concat(base, '-', CAST(taken + 1 AS VARCHAR)) END AS slug FROM r""",
 )
 def slugs(t):
     new = t.customer.select(
-        F.col("c_mktsegment").alias("name"),
+        F.concat("c_mktsegment", F.when(F.col("c_custkey") % 40 == 1, " Group").otherwise("")).alias("name"),
         (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("c_custkey") % 30).cast("int"))).alias("created_at"),
     )
     stored = t.customer.filter(F.col("c_custkey") % 50 == 0).select(F.lower(F.concat_ws("-", "c_mktsegment", "c_custkey")).alias("slug"))

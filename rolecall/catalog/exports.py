@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from rolecall.catalog import query
 from rolecall.functions import display_text
-from rolecall.functions.text import html_to_text
+from rolecall.functions.text import html_to_text, printable
 from rolecall.operators import pages
 from rolecall.plans.views import AS_OF
+from rolecall.session import scratch_path
 from rolecall.sources import exports
 
 _BASE = "https://jobs.example.com"
@@ -47,6 +48,33 @@ def csv_import(t):
     )
 
 
+@query(
+    "S14_import_sheet",
+    """WITH c AS (SELECT id, name, row_number() OVER (ORDER BY id) + 1 AS n, concat('Data Engineer, ', id) AS title FROM v_company)
+ SELECT n AS row_number, id AS company_id, title, concat('Line one, "quoted"', chr(10), 'for ', name, ' and all of us here') AS description,
+  concat('data-engineer-', id, '-', lower(replace(name, '#', '-')), '-', substr(sha1(concat(id, '|', title, '|', n)), 1, 6)) AS slug,
+  CASE WHEN id % 3 = 0 THEN NULL ELSE 900000 + id END AS salary_min, id % 3 <> 0 AS salary_disclosed, 0 AS errors FROM c""",
+)
+def import_sheet(t):
+    """One job of every company through a written sheet: quoted line breaks, blank rows, an odd header; read, checked, imported."""
+    path = scratch_path(t.spark, "sheet")
+    pay = F.when(F.col("id") % 3 != 0, (F.col("id") + 900_000).cast("string")).otherwise("")
+    cells = t.v_company.select(
+        "id",
+        F.col("slug").alias("Company_Slug"),
+        F.concat(F.lit(" Data Engineer, "), "id").alias("title"),
+        F.concat(F.lit('Line one, "quoted"\nfor '), "name", F.lit(" and all of us here")).alias("DESCRIPTION"),
+        *[F.lit(v).alias(k) for k, v in {"discipline": "data", "level": "mid", "tags": "SQL;Kafka", "location": "Pune", "remote": "onsite", "remote_region": ""}.items()],
+        pay.alias("salary_min"),
+        pay.alias("salary_max"),
+        *[F.lit(v).alias(k) for k, v in {"experience_min": "", "experience_max": "", "apply_url": "https://jobs.example.com/1"}.items()],
+    )
+    cells.orderBy("id").drop("id").coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    found = exports.import_jobs(exports.read_import(t.spark, path), t.v_company)
+    errors = found.errors.agg(F.count(F.lit(1)).alias("errors"))
+    return found.rows.select("row_number", "company_id", "title", "description", "slug", "salary_min", "salary_disclosed").join(F.broadcast(errors))
+
+
 @query(
     "S17_sitemap_export",
     f"""SELECT 'company' AS section, concat('{_BASE}/companies/', slug) AS url, CAST(NULL AS TIMESTAMP) AS updated_at FROM v_company
@@ -142,9 +170,7 @@ def files(t):
     return audited.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "reason", "filename")
 
 
-@query(
-    "P1_card_text",
-    f"""SELECT id, CASE WHEN currency IS NULL THEN NULL WHEN currency <> 'INR' THEN
+_CARD_SQL = f"""SELECT id, CASE WHEN currency IS NULL THEN NULL WHEN currency <> 'INR' THEN
   CASE WHEN salary_min = salary_max THEN concat(CASE currency WHEN 'GBP' THEN '£' ELSE 'US$' END, format('{{:,}}', salary_min))
    ELSE concat(CASE currency WHEN 'GBP' THEN '£' ELSE 'US$' END, format('{{:,}}', salary_min), ' – ',
     CASE currency WHEN 'GBP' THEN '£' ELSE 'US$' END, format('{{:,}}', salary_max)) END
@@ -161,8 +187,10 @@ def files(t):
    ELSE concat(CAST(floor(salary_min / 10000.0 + 0.5) AS BIGINT) // 10, '.', CAST(floor(salary_min / 10000.0 + 0.5) AS BIGINT) % 10) END AS lo,
   CASE WHEN CAST(floor(salary_max / 10000.0 + 0.5) AS BIGINT) % 10 = 0 THEN CAST(CAST(floor(salary_max / 10000.0 + 0.5) AS BIGINT) // 10 AS VARCHAR)
    ELSE concat(CAST(floor(salary_max / 10000.0 + 0.5) AS BIGINT) // 10, '.', CAST(floor(salary_max / 10000.0 + 0.5) AS BIGINT) % 10) END AS hi
-  FROM v_job) j""",
-)
+  FROM v_job) j"""
+
+
+@query("P1_card_text", _CARD_SQL)
 def card_text(t):
     as_of = F.lit(AS_OF).cast("timestamp")
     return t.v_job.select(
@@ -175,6 +203,39 @@ def card_text(t):
     )
 
 
+@query(
+    "F23_card_summaries",
+    f"""SELECT concat('job ', j.id) AS key, j.title AS name, concat(j.title, ' at ', c.name, ': ', CASE WHEN t.pay IS NULL THEN '' ELSE concat(t.pay, ', ') END, t.place,
+  CASE WHEN j.status = 'ACTIVE' THEN '' ELSE ' (no longer open)' END, '. On Board.') AS alt FROM ({_CARD_SQL}) t JOIN v_job j ON j.id = t.id JOIN v_company c ON c.id = j.company_id
+ UNION ALL SELECT concat('company ', c.id), c.name, concat(c.name, ' on Board. ', CASE WHEN count(j.id) = 0 THEN 'No open roles right now'
+  WHEN count(j.id) = 1 THEN '1 open role' ELSE concat(format('{{:,}}', count(j.id)), ' open roles') END, '.')
+  FROM v_company c LEFT JOIN v_job j ON j.company_id = c.id AND j.status = 'ACTIVE' GROUP BY c.id, c.name""",
+)
+def card_summaries(t):
+    firms = t.v_company.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
+    pay = display_text.format_salary_band(F.col("salary_min"), F.col("salary_max"), F.col("currency"))
+    place = display_text.format_location(F.col("location"), F.col("remote"), F.lit("India"))
+    jobs = t.v_job.join(firms, "company_id").select("id", display_text.job_summary(F.col("title"), F.col("company"), place, pay, F.col("status"), "Board").alias("s"))
+    open_roles = t.v_job.filter("status = 'ACTIVE'").groupBy("company_id").agg(F.count(F.lit(1)).alias("n"))
+    companies = firms.join(open_roles, "company_id", "left").select("company_id", display_text.company_summary(F.col("company"), F.coalesce("n", F.lit(0)), "Board").alias("s"))
+    return jobs.select(F.concat(F.lit("job "), "id").alias("key"), F.col("s.title").alias("name"), "s.alt").unionByName(
+        companies.select(F.concat(F.lit("company "), "company_id").alias("key"), F.col("s.name").alias("name"), "s.alt")
+    )
+
+
+_TYPED = "José’s “CV” – ₹18 LPA… → ﬁne½ 日本\t"
+_SAME_PRINT = "–—−‘’‚“”„•·\t\u00a0", "---" + "''" * 3 + '"' * 3 + "--  "
+
+
+@query(
+    "F31_printable",
+    f"""SELECT doc_id, regexp_replace(strip_accents(translate(replace(replace(replace(replace(replace(concat('{_TYPED}', text),
+  '…', '...'), '→', '->'), '₹', 'Rs '), 'ﬁ', 'fi'), '½', '12'), '{_SAME_PRINT[0]}', '{_SAME_PRINT[1]}')), '[^\\x20-\\x7E]', '', 'g') AS line FROM documents""",
+)
+def printable_lines(t):
+    return t.documents.select("doc_id", printable(F.concat(F.lit(_TYPED), "text")).alias("line"))
+
+
 _TAGS = "(p|div|ul|ol|section|table|tr|blockquote)"
 
 

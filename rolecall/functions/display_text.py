@@ -101,6 +101,24 @@ def truncate_words(text: Column, limit: int) -> Column:
     return F.when(F.length(clean) <= limit, clean).otherwise(short)
 
 
+def job_summary(title: Column, company: Column, place: Column, pay: Column, status: Column, site: str) -> Column:
+    """What a job's preview card says: title, company and place cut to fit, pay, open, and the sentence read out for it."""
+    place, is_open = truncate_words(place, 44), status == "ACTIVE"
+    details = F.concat_ws(", ", pay, F.when(place != "", place))
+    sentence = F.concat(title, F.lit(" at "), company, F.when(details != "", F.concat(F.lit(": "), details)).otherwise(""))
+    alt = F.concat(sentence, F.when(is_open, "").otherwise(" (no longer open)"), F.lit(f". On {site}."))
+    return F.struct(truncate_words(title, 90).alias("title"), truncate_words(company, 40).alias("company"), place.alias("place"), pay.alias("pay"), is_open.alias("open"), alt.alias("alt"))
+
+
+def company_summary(name: Column, open_roles: Column, site: str) -> Column:
+    """What a company's preview card says: its name cut to fit, its initial and its open roles."""
+    counted = F.concat(F.format_number(open_roles, 0), F.when(open_roles == 1, " open role").otherwise(" open roles"))
+    roles = F.when(open_roles == 0, "No open roles right now").otherwise(counted)
+    first = F.upper(F.substring(F.trim(name), 1, 1))
+    alt = F.concat(name, F.lit(f" on {site}. "), roles, F.lit("."))
+    return F.struct(truncate_words(name, 48).alias("name"), F.when(first != "", first).otherwise("?").alias("initial"), roles.alias("roles"), alt.alias("alt"))
+
+
 def safe_referrer(url: Column) -> Column:
     """Host and path only, at most 200 characters; null when it is no URL."""
     parts = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)([^?#]*)"

@@ -41,6 +41,43 @@ def constant(value: object, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
+# Typography that has no decomposition, and what is printed for it.
+TYPOGRAPHY = {
+    "–": "-", "—": "-", "−": "-", "‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "•": "-", "·": "-", "→": "->", "₹": "Rs ", "\u00ad": "",
+}
+
+
+def _printed_table() -> tuple[str, str, dict[str, str]]:
+    """Characters that print as one ASCII character, those characters, and the characters that print as several."""
+    source, target, many = [], [], {}
+    for code in range(0x80, 0x20000):
+        if 0xD800 <= code <= 0xDFFF:
+            continue
+        parts = [c for c in unicodedata.normalize("NFKD", chr(code)) if not 0x300 <= ord(c) <= 0x36F]
+        shown = "".join(c for c in "".join(TYPOGRAPHY.get(c, c) for c in parts) if " " <= c <= "~")
+        if len(shown) == 1:
+            source.append(chr(code))
+            target.append(shown)
+        elif shown:
+            many[chr(code)] = shown
+    return "".join(source), "".join(target), many
+
+
+_PRINT_FROM, _PRINT_TO, _PRINT_MANY = _printed_table()
+
+
+def printable(column: Column) -> Column:
+    """A line as plain printable ASCII: typography replaced, accents off, tabs as blanks, all else dropped."""
+    plain = F.translate(column, "\t" + _PRINT_FROM, " " + _PRINT_TO)
+
+    def spelled(text: Column) -> Column:
+        several = constant(_PRINT_MANY, "map<string,string>")
+        whole = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(several[c], c)), "")
+        return F.regexp_replace(F.when(text.rlike("[" + "".join(_PRINT_MANY) + "]"), whole).otherwise(text), r"[^\x20-\x7E]", "")
+
+    return bind(plain, spelled)
+
+
 def sql_text(value: str) -> str:
     """A string literal of a SQL text."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.functions.text import search_text, slugify
+from rolecall.operators.windows import number_rows
 from rolecall.sources.tables import upsert
 
 # Personal mail providers, which prove nothing about an employer.
@@ -170,30 +171,33 @@ def rename_companies(jobs: DataFrame, renamed: DataFrame) -> DataFrame:
     return _replace(jobs.join(names, "company_id", "left"), fields, jobs.columns)
 
 
+def _beginnings(text: str) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.substring(F.col(text), F.lit(1), n))
+
+
 def company_slugs(companies: DataFrame, new: DataFrame) -> DataFrame:
     """Slugs for new companies (`name`, `created_at`): the name, then numbered by how many
     stored or earlier new slugs begin the same way.
 
-    Stored slugs are counted under each of their beginnings that is a new name's
-    base, so the prefix test is an equi-join.
+    Slugs are counted under each of their beginnings that is a new name's base, so
+    the prefix test is an equi-join. A new slug begins as its base does: the number
+    behind it is not held against a base that ends in that number.
     """
     base = F.when(slugify(F.col("name")) != "", slugify(F.col("name"))).otherwise("company")
     wanted = new.withColumn("base", base)
-    beginnings = F.transform(F.sequence(F.lit(1), F.length("slug")), lambda n: F.substring(F.col("slug"), F.lit(1), n))
+    bases = wanted.select(F.col("base").alias("begins")).distinct()
     taken = (
         companies.filter(F.length("slug") > 0)
-        .select(F.explode(beginnings).alias("base"))
-        .join(wanted.select("base").distinct(), "base", "left_semi")
-        .groupBy("base")
+        .select(F.explode(_beginnings("slug")).alias("begins"))
+        .join(bases, "begins", "left_semi")
+        .groupBy("begins")
         .agg(F.count(F.lit(1)).alias("_taken"))
     )
-    # Numbered within each day, days then added up, so one name never fills a task.
-    wanted = wanted.withColumn("_day", F.to_date("created_at"))
-    within = Window.partitionBy("base", "_day").orderBy("created_at", "name")
-    earlier = Window.partitionBy("base").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = wanted.groupBy("base", "_day").agg(F.count(F.lit(1)).alias("_n"))
-    days = days.select("base", "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"))
-    numbered = wanted.withColumn("_before", F.row_number().over(within) - 1).join(days, ["base", "_day"]).join(taken, "base", "left")
-    count = F.coalesce("_taken", F.lit(0)) + F.col("_earlier") + F.col("_before")
-    slug = F.when(count > 0, F.concat_ws("-", "base", (count + 1).cast("string"))).otherwise(F.col("base"))
-    return numbered.withColumn("slug", slug).select(*new.columns, "slug")
+    own = F.col("begins") == F.col("base")
+    met = wanted.select("*", F.explode(_beginnings("base")).alias("begins")).join(bases, "begins", "left_semi")
+    # A row counts under every beginning and keeps its columns under its own base.
+    narrow = met.select("begins", "created_at", "name", F.when(own, F.struct(*new.columns)).alias("_row"))
+    numbered = number_rows(narrow, ["begins"], ["created_at", "name"], "_earlier").filter("_row IS NOT NULL").join(taken, "begins", "left")
+    count = F.coalesce("_taken", F.lit(0)) + F.col("_earlier")
+    slug = F.when(count > 0, F.concat_ws("-", "begins", (count + 1).cast("string"))).otherwise(F.col("begins"))
+    return numbered.select("_row.*", slug.alias("slug"))

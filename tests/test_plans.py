@@ -10,6 +10,7 @@ from rolecall.operators import similarity, sort
 from rolecall.operators.components import connected_components
 from rolecall.operators.overlap import overlap_counts
 from rolecall.operators.percentiles import exact_percentiles
+from rolecall.operators.windows import number_rows
 from rolecall.plans import dedupe, recommend, search, sync
 from rolecall.operators.filters import SearchParams
 
@@ -98,6 +99,17 @@ def test_percentiles_match_sorting(spark, seed):
         assert got[g]["n"] == len(vs)
 
 
+def test_rows_are_numbered_without_a_group_in_one_task(spark):
+    rng = random.Random(5)
+    rows = [("hot", rng.randrange(2_000)) for _ in range(3_000)] + [("same", 7)] * 500 + [(f"g{i}", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(6)
+    numbered = number_rows(df, ["g"], ["v"], "n").collect()
+    for g in ("hot", "same", "g3"):
+        mine = sorted((r["n"], r["v"]) for r in numbered if r["g"] == g)
+        assert mine == list(enumerate(sorted(v for x, v in rows if x == g)))
+    assert number_rows(df.limit(0), ["g"], ["v"], "n").count() == 0
+
+
 # ------------------------------------------------------------------ ordering and paging
 
 JOB = (
