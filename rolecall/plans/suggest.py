@@ -142,34 +142,74 @@ def _beginnings(key: Column) -> Column:
     return F.array_distinct(F.flatten(starts))
 
 
-def _lookup(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """Entries whose `name` matches a term, with the tier. `names` carries an `alias` (null for the key)."""
-    words = F.transform(F.split("term", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    asked = terms.withColumn("probe", F.array_max(words)["w"])
-    index = names.withColumn("probe", F.explode(_beginnings(F.col("name"))))
-    return asked.join(index, "probe").withColumn("tier", match_tier(F.col("name"), F.col("term"))).filter(F.col("tier").isNotNull())
+def _phrases(name: Column) -> Column:
+    """Every text that finds a name by its beginning or by that of a later word, with its tier."""
+    words = F.split(name, " ")
 
+    def from_word(word: Column, i: Column) -> Column:
+        rest = F.array_join(F.slice(words, i + 1, F.size(words)), " ")
+        tier = lambda n: F.when(i > 0, 1).when(n == F.length(rest), -1).otherwise(0)
+        return F.transform(F.sequence(F.lit(1), F.length(rest)), lambda n: F.struct(F.substring(rest, F.lit(1), n).alias("probe"), tier(n).alias("tier")))
 
-def _best(hits: DataFrame, limit: int) -> DataFrame:
+    return F.flatten(F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.length(x["w"]) > 0), lambda x: from_word(x["w"], x["i"])))
+
+
+def _rank() -> list[Column]:
     order = constant(KIND_ORDER, "map<string,int>")
-    rank = [F.col("tier"), F.desc("count"), order[F.col("kind")], F.length("label"), F.lower("label"), F.col("label")]
+    return [F.desc("count"), order[F.col("kind")], F.length("label"), F.lower("label"), F.col("label")]
+
+
+def _entries(hits: DataFrame, by: str) -> DataFrame:
+    """One row per entry and `by`: its best tier; the key itself wins a tie with an alias."""
+    shown = [c for c in hits.columns if c not in (by, "name", "alias", "tier")]
+    best = hits.groupBy(by, *shown).agg(F.min(F.struct("tier", F.coalesce("alias", F.lit("")).alias("alias"))).alias("_h"))
+    return best.select(by, *shown, F.col("_h.tier").alias("tier"), F.col("_h.alias").alias("alias"))
+
+
+def _index(names: DataFrame, limit: int) -> DataFrame:
+    """For every text that may be typed its `limit` best entries of each kind and tier; no other can be shown for it."""
+    found = _entries(names.select("*", F.inline(_phrases(F.col("name")))), "probe")
+    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("probe", "kind", "tier").orderBy(*_rank())))
+    return ranked.filter(F.col("_r") <= limit).drop("_r")
+
+
+def _best(hits: DataFrame, limit: int) -> DataFrame:
     caps = constant(KIND_CAP, "map<string,int>")
-    within = Window.partitionBy("term_id", "kind").orderBy(*rank)
-    overall = Window.partitionBy("term_id").orderBy(*rank)
+    within = Window.partitionBy("term", "kind").orderBy("tier", *_rank())
+    overall = Window.partitionBy("term").orderBy("tier", *_rank())
     return (
         hits.withColumn("_k", F.row_number().over(within))
         .filter(F.col("_k") <= limit)
         .filter(F.col("_k") <= F.coalesce(caps[F.col("kind")], F.lit(limit)))
         .withColumn("pos", F.row_number().over(overall))
         .filter(F.col("pos") <= limit)
+        .drop("_k")
     )
 
 
+def _completions(asked: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+    """(term, pos, entry) of every different term; `names` are entries with `name` and `alias` (null for the key).
+
+    A term meets at most `limit` entries of a kind and tier under its own text. Only
+    terms of several words that do not fill their list that way look for entries
+    that hold their words apart, in the list of their longest word.
+    """
+    terms = asked.filter(F.length("term") > 0).select("term").distinct()
+    whole = terms.join(_index(names, limit).withColumnRenamed("probe", "term"), "term")
+    full = _best(whole, limit).filter(F.col("pos") == limit).select("term")
+    words = F.transform(F.split("term", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    several = terms.filter(F.col("term").contains(" ")).join(full, "term", "left_anti").withColumn("probe", F.array_max(words)["w"])
+    apart = several.join(names.withColumn("probe", F.explode(_beginnings(F.col("name")))), "probe").drop("probe")
+    apart = apart.withColumn("tier", match_tier(F.col("name"), F.col("term"))).filter("tier IS NOT NULL")
+    # An entry met both ways keeps its better tier.
+    return _best(_entries(whole.withColumn("name", F.lit(None).cast("string")).unionByName(apart), "term"), limit)
+
+
 def suggest_keywords(vocabulary: DataFrame, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Best completions of (term_id, typed) in the keyword box; an empty term has none."""
-    asked = terms.select("term_id", "typed", suggest_title_key(F.col("typed")).alias("term")).filter(F.length("term") > 0)
-    names = vocabulary.withColumn("name", F.col("key"))
-    found = _best(_lookup(asked, names), limit)
+    asked = terms.select("term_id", "typed", suggest_title_key(F.col("typed")).alias("term"))
+    names = vocabulary.select("kind", "label", "count", "slug", F.col("key").alias("name"), F.lit(None).cast("string").alias("alias"))
+    found = asked.join(_completions(asked, names, limit), "term")
     return found.select("term_id", "pos", "kind", "label", "slug", highlight_range(F.col("label"), F.col("typed")).alias("mark"))
 
 
@@ -180,19 +220,12 @@ def suggest_places(vocabulary: DataFrame, terms: DataFrame, limit: int = LIMIT)
     names = vocabulary.select("*", F.explode(F.concat(own, "alt")).alias("_n")).select(
         "kind", "label", "count", F.col("_n.key").alias("name"), F.col("_n.name").alias("alias")
     )
-    hits = _lookup(asked.filter(F.length("term") > 0), names)
-    # The key itself wins a tie with an alias.
-    best = hits.groupBy("term_id", "typed", "kind", "label", "count").agg(
-        F.min(F.struct("tier", F.coalesce("alias", F.lit("")).alias("alias"))).alias("_h")
-    )
-    matched = _best(best.withColumn("tier", F.col("_h.tier")), limit)
-    alias = F.when(F.col("_h.alias") != "", F.col("_h.alias"))
+    matched = asked.join(_completions(asked, names, limit), "term")
+    alias = F.when(F.col("alias") != "", F.col("alias"))
     mark = F.when(alias.isNull(), highlight_range(F.col("label"), F.col("typed")))
     shown = matched.select("term_id", "pos", "kind", "label", alias.alias("alias"), mark.alias("mark"))
     # Vocabulary rows are at most the city list and one more: gathered into one row of `limit` places.
-    order = constant(KIND_ORDER, "map<string,int>")
-    busiest = Window.orderBy(F.desc("count"), order[F.col("kind")], F.length("label"), F.lower("label"), F.col("label"))
-    top = vocabulary.withColumn("pos", F.row_number().over(busiest)).filter(F.col("pos") <= limit)
+    top = vocabulary.withColumn("pos", F.row_number().over(Window.orderBy(*_rank()))).filter(F.col("pos") <= limit)
     everywhere = top.agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "label"))).alias("places")).withColumn("_k", F.lit(0))
     blank = asked.filter(F.length("term") == 0).select("term_id", F.lit(0).alias("_k"))
     idle = blank.join(F.broadcast(everywhere), "_k").select("term_id", F.inline("places"))
