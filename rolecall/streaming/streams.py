@@ -149,11 +149,13 @@ def sync_tables(stored: DataFrame, snapshots: DataFrame, path: str) -> SyncTable
 
 
 def whole_runs(landed: DataFrame, runs: DataFrame, done: DataFrame) -> DataFrame:
-    """run_id, run_at, company_id, source of the feeds' runs that have landed all the rows they fetched and are not behind."""
+    """run_id, run_at, company_id, source of the feeds' runs that can be applied: whole, and no earlier one still to land."""
     there = landed.groupBy("run_id", *FEED).agg(F.count(F.lit(1)).alias("_rows"))
     last = done.select(*FEED, F.col("run_id").alias("_last"))
-    met = there.join(runs, ["run_id", *FEED]).join(last, list(FEED), "left")
-    return met.filter("ok AND _rows >= fetched AND run_id > coalesce(_last, -1)").select("run_id", "run_at", *FEED)
+    awaited = runs.filter("ok AND fetched > 0").join(landed.select(*FEED).distinct(), list(FEED), "left_semi").join(last, list(FEED), "left")
+    met = awaited.filter("run_id > coalesce(_last, -1)").join(there, ["run_id", *FEED], "left").withColumn("_short", F.coalesce("_rows", F.lit(0)) < F.col("fetched"))
+    blocked = met.filter("_short").groupBy(*FEED).agg(F.min("run_id").alias("_blocked"))
+    return met.join(blocked, list(FEED), "left").filter("NOT _short AND (_blocked IS NULL OR run_id < _blocked)").select("run_id", "run_at", *FEED)
 
 
 def stream_sync(snapshots: DataFrame, runs: DataFrame, tables: SyncTables, checkpoint: str) -> StreamingQuery:
@@ -162,8 +164,10 @@ def stream_sync(snapshots: DataFrame, runs: DataFrame, tables: SyncTables, check
     `snapshots`: listings with run_id, in any number of files and batches per run.
     `runs`: one row per run and feed: run_id, company_id, source, ok, error, fetched, run_at.
     A feed's rows wait until its run is whole, so a run that arrives in parts
-    expires nothing early. Whole runs of a feed are applied in order of run_id, each
-    at its own time; what lands of a run after a later one was applied is dropped. A
+    expires nothing early. The runs of a feed are applied in order of run_id, each at
+    its own time: a whole run waits for earlier ones that `runs` says are read (a run
+    that will never land is to be marked not ok there), so the order in which rows
+    land never matters. Rows of a run that is not ok go with the next one applied. A
     batch reads and rewrites the buckets of its feeds: waiting rows and last runs,
     and listings only where a run is whole.
     """
