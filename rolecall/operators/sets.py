@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolecall.functions.text import bind
 from rolecall.operators.windows import latest
 
 
 def distinct_ignoring_case(values: Column) -> Column:
     """First spelling of each value, in order; blanks dropped."""
     kept = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: F.length(v) > 0)
-    folded = F.transform(kept, F.lower)
-    return F.filter(kept, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1)
+
+    # Bound: named inside the filter, the list and all it is made of would be worked out anew for each value.
+    def first(seen: Column) -> Column:
+        return F.filter(seen["kept"], lambda v, i: F.array_position(seen["folded"], F.lower(v)) == i + 1)
+
+    return bind(bind(kept, lambda k: F.struct(k.alias("kept"), F.transform(k, F.lower).alias("folded"))), first)
 
 
 def union_skills(first: Column, second: Column) -> Column:

@@ -41,10 +41,15 @@ def _parts(separator: str, *values: Column) -> Column:
 
 # ------------------------------------------------------------------ small formats
 
+def _number(digits: Column) -> Column:
+    """Matched digits as a number, null without a match; a failing `try_cast` would cost an exception a row."""
+    return F.when(digits != "", digits).cast("int")
+
+
 def format_resume_date(value: Column) -> Column:
     """`2021-03` as `Mar 2021`; anything else as written."""
     text = F.trim(F.coalesce(value, F.lit("")))
-    month = F.regexp_extract(text, r"^(\d{4})-(\d{1,2})$", 2).try_cast("int")
+    month = _number(F.regexp_extract(text, r"^(\d{4})-(\d{1,2})$", 2))
     name = F.try_element_at(constant(MONTHS, _STRINGS), F.when(month.between(1, 12), month).otherwise(F.lit(13)))
     return F.coalesce(F.concat(name, F.lit(" "), F.substring(text, 1, 4)), text)
 
@@ -257,7 +262,8 @@ def review_resumes(resumes: DataFrame) -> DataFrame:
 
 def review_checks(reviewed: DataFrame) -> DataFrame:
     """(user_id, id, status, weight, score, verdict): one row per check."""
-    return reviewed.select("user_id", "score", "verdict", F.inline("checks"))
+    # Every resume has checks. A plain inline would put a filter on them in front, which works all of them out twice.
+    return reviewed.select("user_id", "score", "verdict", F.inline_outer("checks"))
 
 
 # ------------------------------------------------------------------ hints
@@ -310,8 +316,8 @@ def bullet_list_hints(resumes: DataFrame) -> DataFrame:
 def _date_value(text: Column) -> Column:
     """A month or year as months since year 0; null for anything else."""
     value = F.trim(F.coalesce(text, F.lit("")))
-    year = F.regexp_extract(value, r"^(\d{4})(?:-(\d{1,2}))?$", 1).try_cast("int")
-    month = F.regexp_extract(value, r"^(\d{4})(?:-(\d{1,2}))?$", 2).try_cast("int")
+    year = _number(F.regexp_extract(value, r"^(\d{4})(?:-(\d{1,2}))?$", 1))
+    month = _number(F.regexp_extract(value, r"^(\d{4})(?:-(\d{1,2}))?$", 2))
     return year * 12 + F.coalesce(month, F.lit(1)) - 1
 
 
