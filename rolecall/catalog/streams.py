@@ -100,14 +100,19 @@ _CONFIRMED = """SELECT id, source, posted_at, TIMESTAMP '2024-01-15 00:00:00' +
  UNION ALL SELECT DISTINCT id, 'DELETED', gone FROM c, w WHERE gone < now""",
 )
 def expiry_timers(t):
-    """Confirmations land run by run; the timers of a listing fire when the watermark has passed them."""
+    """Confirmations land run by run; the timers of a listing fire when the watermark has passed them.
+
+    The stream goes on from its checkpoint after each landing and takes all files of the run in one
+    batch: a run is as many files as tasks wrote, and each batch of a file costs a pass over all state.
+    """
     path = scratch_path(t.spark, "expiry")
-    confirmed = t.sql(_CONFIRMED)
+    t.sql(_CONFIRMED).write.parquet(f"{path}/confirmed")
+    confirmed = t.spark.read.parquet(f"{path}/confirmed")
+    schema = "id string, source string, posted_at timestamp, verified_at timestamp"
     for run in range(5):
         confirmed.filter(F.col("run") == run).drop("run").write.mode("append").parquet(f"{path}/landed")
-    schema = "id string, source string, posted_at timestamp, verified_at timestamp"
-    changes = expiry.expiry_changes(t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed"))
-    expiry.write_changes(changes, f"{path}/changes", f"{path}/log").awaitTermination()
+        changes = expiry.expiry_changes(t.spark.readStream.schema(schema).parquet(f"{path}/landed"))
+        expiry.write_changes(changes, f"{path}/changes", f"{path}/log").awaitTermination()
     return t.spark.read.schema(changes.schema).parquet(f"{path}/changes")
 
 

@@ -139,3 +139,19 @@ def test_a_streamed_sync_waits_for_whole_runs_and_touches_their_feeds_only(spark
     }
     assert {k[1]: v[0] for k, v in got.items() if k[0] == 8} == {"x0": "EXPIRED", "x1": "EXPIRED", "x2": "EXPIRED", "x3": "EXPIRED", "x4": "ACTIVE"}
     assert tables.waiting.rows(run.lastProgress["batchId"]).count() == 0
+
+
+def test_each_landed_run_is_one_batch_however_many_files_it_is(spark, tmp_path, monkeypatch):
+    from rolecall.catalog import queries
+    from rolecall.catalog import streams as registered
+
+    monkeypatch.setattr(registered, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # no file is put together with another
+    try:
+        changes = queries()["X5_expiry_timers"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list((tmp_path / "expiry" / "landed").glob("*.parquet"))) > 5
+    commits = [f for f in (tmp_path / "expiry" / "log" / "commits").iterdir() if f.name.isdigit()]
+    assert len(commits) <= 10  # a batch for each of the five runs, and one for the timers behind it
+    assert changes.count() == changes.distinct().count() > 0
