@@ -158,3 +158,24 @@ def test_small_formats(spark):
     assert column(spark, [long, "short"], lambda t: display_text.truncate_words(t, 30)) == ["word word word word word…", "short"]
     amounts = ["18", "18 LPA", "₹18,00,000", "1.2 Cr", "900", "a lot"]
     assert column(spark, amounts, salary.parse_inr_amount) == [1_800_000, 1_800_000, 1_800_000, 12_000_000, None, None]
+
+
+def test_printed_lines_keep_every_character_of_their_rule(spark):
+    lines = ["ﬁne ½ … №5 ⑩ ﬁﬁ", "plain", "", None, "😀 a\tb ｆｕｌｌ → 🄐 x", "é́ 中 ⒇."]
+    want = [
+        None if line is None else "".join(text._PRINT_MANY.get(c, c) for c in line.translate(str.maketrans("\t" + text._PRINT_FROM, " " + text._PRINT_TO)))
+        for line in lines
+    ]
+    want = [None if line is None else "".join(c for c in line if " " <= c <= "~") for line in want]
+    assert column(spark, lines, text.printable) == want
+
+
+def test_printing_looks_up_no_plain_character(spark):
+    plan = spark.createDataFrame([("a",)], "t string").select(text.printable(F.col("t")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+
+
+def test_special_characters_are_tried_as_few_ranges(spark):
+    assert text._PRINT_SPECIAL.count("-") * 3 < len(text._PRINT_MANY)
+    chars = sorted(text._PRINT_MANY)
+    assert column(spark, ["".join(chars)], lambda t: F.regexp_extract_all(t, F.lit(text._PRINT_SPECIAL), F.lit(0))) == [chars]
