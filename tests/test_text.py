@@ -179,3 +179,10 @@ def test_special_characters_are_tried_as_few_ranges(spark):
     assert text._PRINT_SPECIAL.count("-") * 3 < len(text._PRINT_MANY)
     chars = sorted(text._PRINT_MANY)
     assert column(spark, ["".join(chars)], lambda t: F.regexp_extract_all(t, F.lit(text._PRINT_SPECIAL), F.lit(0))) == [chars]
+
+
+def test_skills_that_no_text_names_cost_no_struct(spark):
+    df = spark.createDataFrame([("SQL and data", "Kafka, SQL"), ("", ""), (None, None)], "a string, b string")
+    found = df.select(classify.extract_tags(F.col("a"), F.col("b")).alias("r"))
+    assert [r.r for r in found.collect()] == [["SQL", "Kafka"], [], []]
+    assert " ELSE 0 " not in found._jdf.queryExecution().optimizedPlan().toString()
