@@ -186,3 +186,14 @@ def test_skills_that_no_text_names_cost_no_struct(spark):
     found = df.select(classify.extract_tags(F.col("a"), F.col("b")).alias("r"))
     assert [r.r for r in found.collect()] == [["SQL", "Kafka"], [], []]
     assert " ELSE 0 " not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_experience_compiles_no_pattern_per_value(monkeypatch):
+    """`split` compiles its pattern for every value unless it is one plain character."""
+    from rolecall.functions import experience
+
+    patterns = []
+    keep = F.split
+    monkeypatch.setattr(experience.F, "split", lambda text, pattern, *limit: patterns.append(pattern) or keep(text, pattern, *limit))
+    experience.parse_experience(F.col("title"), F.col("text"))
+    assert patterns and all(len(p) == 1 for p in patterns)
