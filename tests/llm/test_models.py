@@ -187,6 +187,25 @@ def test_rare_words_meet_their_counts_in_a_join(spark, monkeypatch):
     assert {r.doc_id: (r.n_known, round(r.base_score, 9)) for r in score_documents(frame, F.col("hold")).collect()} == want
 
 
+def test_deep_contexts_and_rare_grams_are_scored(spark, monkeypatch):
+    from rolecall.llm import lm_score
+
+    rows = [(i, t, False) for i, t in enumerate(["aqbcd1", "xqbcd2", "aqbcd1", "xqbcd2", "é"])] + [(10, "aqbcd1", True), (11, "aqbcd2", True), (12, "new \U0001f600 text", True), (13, None, True)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, hold boolean")
+    want = {r.doc_id: r.score for r in score_documents(frame, F.col("hold")).collect()}
+    assert want[10] > want[11] + 0.25  # only contexts of five bytes tell the two apart
+    context, symbol, _ = _symbols([t.encode() for _, t, held in rows if not held])
+    nodes, counts = np.unique(context * SYMBOLS + symbol, return_counts=True)
+    trie = Trie(nodes, counts.astype(float))
+    place = {c: i for i, c in enumerate(trie.contexts)}
+    context, symbol, _ = _symbols([b"aqbcd1"])
+    assert want[10] == pytest.approx(sum(trie.rows[place[int(c)], s] for c, s in zip(context, symbol, strict=True)), rel=1e-12)
+    monkeypatch.setattr(lm_score, "HEAD_GRAMS", 3)
+    monkeypatch.setattr(lm_score, "HELD_GRAMS", 4)
+    got = {r.doc_id: r.score for r in score_documents(frame, F.col("hold")).collect()}
+    assert got == pytest.approx(want, rel=1e-12)
+
+
 def test_scoring_without_training_rows(spark):
     frame = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, hold boolean")
     r = score_documents(frame, F.col("hold")).first()
