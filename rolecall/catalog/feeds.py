@@ -77,7 +77,7 @@ def greenhouse(t):
         id=F.col("k"),
         title=F.concat(F.lit(" "), "title"),
         absolute_url=F.col("apply_url"),
-        updated_at=F.lit("2020-01-01T00:00:00Z"),
+        updated_at=day,  # half the postings only say when they were updated
         first_published=F.when(F.col("k") % 2 == 0, day),
         location=F.struct(F.col("place").alias("name")),
         offices=F.array(F.struct(F.lit("HQ").alias("name"), F.col("place").alias("location"))),
@@ -85,10 +85,7 @@ def greenhouse(t):
         content=encoded,
         internal_job_id=F.col("k") + 1,
     )
-    # Half the postings only say when they were updated.
-    payload = F.from_json(F.to_json(payload), f"struct<{feeds._as_struct(feeds.GREENHOUSE)}>")
-    jobs = F.transform(payload["jobs"], lambda j: j.withField("updated_at", F.coalesce(j["first_published"], day)))
-    landed = _landed(rows, F.struct(jobs.alias("jobs")), feeds.GREENHOUSE)
+    landed = _landed(rows, payload, feeds.GREENHOUSE)
     return _show(feeds.greenhouse_postings(landed))
 
 

@@ -49,3 +49,18 @@ def test_matches_oracle(spark, duck, key):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_greenhouse_payload_is_not_read_back_before_it_lands(spark, monkeypatch):
+    from rolecall.catalog import feeds as rendered
+
+    plans = []
+
+    def landed(rows, payload, schema):
+        plans.append(rows.select(payload)._jdf.queryExecution().analyzed().toString())
+        raise LookupError
+
+    monkeypatch.setattr(rendered, "_landed", landed)
+    with pytest.raises(LookupError):
+        catalog.queries()["S1_feed_greenhouse"](spark, "/root/testdata/sf0.001")
+    assert "from_json" not in plans[0]
