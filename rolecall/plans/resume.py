@@ -397,8 +397,11 @@ def _title_words(title: Column) -> Column:
 
 
 def _mentions(text: Column, keyword: Column) -> Column:
-    """The keyword as a whole word of lower-cased text, punctuation of names like C++ respected."""
-    return F.rlike(text, F.concat(F.lit(r"(^|[^a-z0-9+#.])\Q"), F.lower(keyword), F.lit(r"\E($|[^a-z0-9+#])")))
+    """The keyword as a whole word of lower-cased text, punctuation of names like C++ respected.
+
+    A pattern that is not constant is compiled for each pair: only texts that hold the keyword reach it.
+    """
+    return F.contains(text, F.lower(keyword)) & F.rlike(text, F.concat(F.lit(r"(^|[^a-z0-9+#.])\Q"), F.lower(keyword), F.lit(r"\E($|[^a-z0-9+#])")))
 
 
 def resume_side(resumes: DataFrame) -> DataFrame:
@@ -430,7 +433,10 @@ def job_side(jobs: DataFrame) -> DataFrame:
 
 def keyword_gap(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
     """For (user_id, id) pairs: keywords, matched, missing, not_in_skills, coverage, title_matches."""
-    df = pairs.join(job_side(jobs), "id").join(resume_side(resumes), "user_id")
+    # The text rules run for the jobs and resumes that are in a pair, however many others there are.
+    asked_jobs = jobs.join(pairs.select("id").distinct(), "id", "left_semi")
+    asked_resumes = resumes.join(pairs.select("user_id").distinct(), "user_id", "left_semi")
+    df = pairs.join(job_side(asked_jobs), "id").join(resume_side(asked_resumes), "user_id")
     present = lambda k: F.array_contains("found", F.lower(k)) | _mentions(F.col("all_text"), k)
     listed = lambda k: F.array_contains("in_skills", F.lower(k)) | _mentions(F.col("skills_text"), k)
     df = df.withColumn("matched", F.filter("keywords", present))

@@ -53,3 +53,15 @@ def test_layout_facts_are_read_off_each_resume(spark):
     rows = resume.layout_rows(resumes).groupBy("user_id").count()
     told = facts.join(rows, "user_id").select(F.sum((F.col("blocks") != F.col("count")).cast("int")).alias("wrong"), F.count("*").alias("n")).first()
     assert told.wrong == 0 and told.n == resumes.count()
+
+
+def test_keyword_gap_reads_only_jobs_and_resumes_of_a_pair(spark):
+    plan = plan_of(queries()["L17_keyword_gap"](spark, SMALL))
+    assert plan.count("LeftSemi") == 2
+
+
+def test_mentions_of_odd_keywords(spark):
+    rows = [("c++ and go", "C++", True), ("c++ and go", "C", False), ("golang", "Go", False), ("use go.", "Go", True), ("asp.net", ".Net", False), ("", "Go", False), (None, "Go", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, k string, e boolean")
+    found = df.select("e", resume._mentions(F.col("t"), F.col("k")).alias("m")).collect()
+    assert [r.m for r in found] == [r.e for r in found]
