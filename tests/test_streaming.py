@@ -155,3 +155,87 @@ def test_each_landed_run_is_one_batch_however_many_files_it_is(spark, tmp_path,
     commits = [f for f in (tmp_path / "expiry" / "log" / "commits").iterdir() if f.name.isdigit()]
     assert len(commits) <= 10  # a batch for each of the five runs, and one for the timers behind it
     assert changes.count() == changes.distinct().count() > 0
+
+
+def test_buckets_of_listings_change_as_each_listing_would_alone():
+    """Against the definition, one listing and one confirmation at a time, several of them in a batch."""
+    import pandas as pd
+
+    hour, rng = 60 * 60 * 1000, random.Random(5)
+
+    class Held:
+        def __init__(self):
+            self.value, self.timers = None, set()
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        registerTimer = lambda self, at: self.timers.add(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+
+    def due(one, now, said):
+        while one["status"] != "DELETED":
+            ahead = [(one["posted"] + 720 * hour, "DELETED")]
+            if one["status"] == "ACTIVE" and one["source"] != "MANUAL":
+                ahead.append((one["verified"] + 168 * hour, "EXPIRED"))
+            at, status = min(ahead)
+            if at >= now:
+                return
+            one["status"] = status
+            said.append((one["id"], status, at))
+
+    def batch(table, rows, now, said):
+        for name in sorted({r[0] for r in rows}):
+            mine = sorted((verified, posted, source) for i, source, posted, verified in rows if i == name)
+            one = table.setdefault(name, {"id": name, "verified": mine[0][0], "posted": mine[0][1], "source": mine[0][2], "status": "ACTIVE"})
+            due(one, now, said)
+            for verified, *_ in mine:
+                if one["status"] != "DELETED" and verified > one["verified"]:
+                    one["verified"] = verified
+                    if one["status"] == "EXPIRED":
+                        one["status"] = "ACTIVE"
+                        said.append((name, "ACTIVE", verified))
+                    due(one, now, said)
+        for one in table.values():
+            due(one, now, said)
+        for name in [n for n, one in table.items() if one["status"] == "DELETED"]:
+            del table[name]
+
+    held, table, kinds = Held(), {}, set()
+    timers = expiry.ExpiryTimers()
+    timers.init(held)
+    for step in range(60):
+        now = step * 20 * hour
+        clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self, at=now: at})()
+        rows = [(f"job{rng.randrange(30)}", rng.choice(["LEVER", "MANUAL"]), hour * rng.randrange(-300, 900), now + hour * rng.randrange(-400, 100)) for _ in range(rng.choice([0, 1, 40]))]
+        want, got = [], []
+        batch(table, rows, now, want)
+        if rows:
+            parts = [pd.DataFrame(part, columns=["id", "source", "posted", "verified"]) for part in (rows[::2], rows[1::2]) if part]
+            got += timers.handleInputRows((0,), iter(parts), clock)
+        for at in [at for at in held.timers if at <= now]:
+            got += timers.handleExpiredTimer((0,), clock, None)
+            held.timers.remove(at)
+        assert len(held.timers) == bool(table)
+        assert sorted(r for part in got for r in part.itertuples(index=False, name=None)) == sorted(want)
+        kinds |= {status for _, status, _ in want}
+    assert kinds == {"EXPIRED", "ACTIVE", "DELETED"}
+
+
+def test_timers_keep_a_state_for_a_bucket_not_for_a_listing(spark, tmp_path):
+    rows = spark.range(6 * expiry.BUCKETS).selectExpr("CONCAT('job', id) AS id", "'LEVER' AS source", "TIMESTAMP '2024-01-01' AS posted_at", "TIMESTAMP '2024-01-02' AS verified_at")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    changes = expiry.expiry_changes(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
+    run = expiry.write_changes(changes, f"{tmp_path}/out", f"{tmp_path}/log")
+    run.awaitTermination()
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress)
+    assert 0 < held <= 4 * expiry.BUCKETS  # the value, the timer and its index
