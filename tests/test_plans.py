@@ -308,3 +308,25 @@ def test_pools_of_busy_candidates(spark):
             if status == "ACTIVE" and set(tags) & set(wanted) and level in fits[years] and (user, i) not in applied
         ]
         assert got.get(user, set()) == {i for _, i in sorted(fit, reverse=True)[:5]}
+
+
+def test_sets_of_a_group_are_equal_in_a_segment(spark):
+    """A shared word, however rare, is no reason to compare two sets; sets over the threshold always meet."""
+    rng = random.Random(11)
+    far = [(f"far{i}", "b", [f"{i}-{k}" for k in range(30)] + ["shared"]) for i in range(40)]
+    near = []
+    for i in range(120):
+        n = rng.randrange(19, 400)
+        one = [f"n{i}-{k}" for k in range(n)]
+        most = 2 * n // 19
+        gone = rng.randrange(most + 1)
+        near += [(f"near{i}x", "b", one), (f"near{i}y", "b", one[gone:] + [f"new{i}-{k}" for k in range((2 * n - gone) // 19 - gone)])]
+    sets = spark.createDataFrame(far + near, "item string, block string, words array<string>")
+    items = sets.select("item", "block", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    members = similarity._groups(items).filter("item NOT LIKE 'far%'").count()
+    assert similarity._groups(items).filter("item LIKE 'far%'").count() == 0 < members
+    words = {name: set(held) for name, _, held in near}
+    want = {(f"near{i}x", f"near{i}y") for i in range(120)}
+    want = {(x, y) for x, y in want if words[x] != words[y] and 10 * len(words[x] & words[y]) >= 9 * len(words[x] | words[y])}
+    links = {tuple(sorted(r)) for r in similarity.similar_links(sets.withColumnRenamed("item", "id")).collect()}
+    assert want <= links and len(want) > 60
