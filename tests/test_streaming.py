@@ -239,3 +239,22 @@ def test_timers_keep_a_state_for_a_bucket_not_for_a_listing(spark, tmp_path):
     run.awaitTermination()
     held = max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress)
     assert 0 < held <= 4 * expiry.BUCKETS  # the value, the timer and its index
+
+
+def test_a_streamed_sync_does_not_read_all_listings_again_to_know_its_runs(spark, tmp_path, monkeypatch):
+    from rolecall.catalog import queries
+    from rolecall.catalog import streams as registered
+
+    asked = []
+
+    def stream_sync(arriving, runs, *_):
+        asked.extend(runs.inputFiles())
+        raise InterruptedError
+
+    monkeypatch.setattr(registered, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(streams, "stream_sync", stream_sync)
+    try:
+        queries()["X4_stream_sync"](spark, "/root/testdata/sf0.001")
+    except InterruptedError:
+        pass
+    assert asked and not any("lineitem" in file for file in asked)
